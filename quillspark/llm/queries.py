@@ -6,20 +6,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality_nbsvm
 from .minhash_dedup import near_duplicates
+from .packing import pack
+
+try:  # the tokenizer files' folder; only a default, every operator takes a path
+    import public_tokenizers
+
+    BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+except ModuleNotFoundError:
+    BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=2048, end_id=1)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_nbsvm.fit(documents, table(spark, sf_dir, "labels"), quality_nbsvm.not_held_out())
+    scored = model.score(documents, keep=["doc_id"])
+    held_out = F.coalesce(~quality_nbsvm.not_held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", quality_nbsvm.predicted(F.col("score")).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_dedup": op6_minhash_dedup}
+    return {
+        "op4_packing": op4_packing,
+        "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_quality_nbsvm": op7_quality_nbsvm,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
