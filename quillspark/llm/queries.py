@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_nbsvm
+from . import mixing, quality_nbsvm
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
@@ -24,6 +24,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The target mix of the registered query and of the pipeline.
+MIX = mixing.Weights(
+    domain={"web": 0.5, "news": 0.3, "books": 0.2},
+    lang={"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+    source={"src0": 2.0},
+)
+
+
+def domain_of(source: Column) -> Column:
+    """Sources src0 to src9 are web, src10 to src14 news, all others books."""
+    number = F.regexp_extract(source, "^src([0-9]{1,4})$", 1)
+    return F.when(number == "", "books").when(number.cast("int") < 10, "web").when(number.cast("int") < 15, "news").otherwise("books")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select_tokens(table(spark, sf_dir, "documents"), MIX, domain_of(F.col("source")), budget_share=1.0, max_epochs=3, seed=17)
+
+
+OP2_SQL = """
+WITH slim AS (
+  SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         CASE WHEN NOT coalesce(regexp_matches(source, '^src[0-9]{1,4}$'), false) THEN 'books'
+              WHEN CAST(substr(source, 4) AS int) < 10 THEN 'web'
+              WHEN CAST(substr(source, 4) AS int) < 15 THEN 'news' ELSE 'books' END AS domain,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS bigint) AS tokens
+  FROM documents),
+leaves AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS double) AS tokens, 3.0 * CAST(sum(tokens) AS double) AS room,
+         CASE domain WHEN 'web' THEN 0.5::double WHEN 'news' THEN 0.3::double WHEN 'books' THEN 0.2::double ELSE 1.0::double END AS w_domain,
+         CASE lang WHEN 'en' THEN 0.55::double WHEN 'de' THEN 0.15::double WHEN 'fr' THEN 0.15::double WHEN 'es' THEN 0.15::double ELSE 1.0::double END AS w_lang,
+         CASE source WHEN 'src0' THEN 2.0::double ELSE 1.0::double END AS w_source
+  FROM slim GROUP BY ALL),
+d1 AS (SELECT domain, w_domain AS w, sum(room) AS c FROM leaves GROUP BY ALL),
+d2 AS (SELECT *, (SELECT floor(sum(tokens)) FROM leaves) AS b FROM d1),
+d3 AS (SELECT *, (b - (sum(c) OVER o - c)) / (sum(w) OVER () - sum(w) OVER o + w) AS lv FROM d2 WINDOW o AS (ORDER BY c / w, domain ROWS UNBOUNDED PRECEDING)),
+d4 AS (SELECT *, max(CASE WHEN c / w > lv THEN lv END) OVER () AS l FROM d3),
+d5 AS (SELECT domain, CASE WHEN l IS NULL THEN c ELSE least(c, w * l) END AS b FROM d4),
+l1 AS (SELECT domain, lang, w_lang AS w, sum(room) AS c FROM leaves GROUP BY ALL),
+l3 AS (SELECT l1.*, (b - (sum(c) OVER o - c)) / (sum(w) OVER (PARTITION BY domain) - sum(w) OVER o + w) AS lv
+       FROM l1 JOIN d5 USING (domain) WINDOW o AS (PARTITION BY domain ORDER BY c / w, lang ROWS UNBOUNDED PRECEDING)),
+l4 AS (SELECT *, max(CASE WHEN c / w > lv THEN lv END) OVER (PARTITION BY domain) AS l FROM l3),
+l5 AS (SELECT domain, lang, CASE WHEN l IS NULL THEN c ELSE least(c, w * l) END AS b FROM l4),
+s1 AS (SELECT domain, lang, source, tokens, w_source AS w, room AS c FROM leaves),
+s3 AS (SELECT s1.*, (b - (sum(c) OVER o - c)) / (sum(w) OVER (PARTITION BY domain, lang) - sum(w) OVER o + w) AS lv
+       FROM s1 JOIN l5 USING (domain, lang) WINDOW o AS (PARTITION BY domain, lang ORDER BY c / w, source ROWS UNBOUNDED PRECEDING)),
+s4 AS (SELECT *, max(CASE WHEN c / w > lv THEN lv END) OVER (PARTITION BY domain, lang) AS l FROM s3),
+plan AS (SELECT domain, lang, source, CAST(tokens AS bigint) AS t,
+                CAST(floor(round(CASE WHEN l IS NULL THEN c ELSE least(c, w * l) END, 3)) AS bigint) AS a FROM s4),
+used AS (SELECT *, CASE WHEN t > 0 THEN a // t ELSE 0 END AS whole FROM plan WHERE a > 0),
+rowz AS (SELECT slim.*, whole, a - whole * t AS rest FROM slim JOIN used USING (domain, lang, source)),
+part AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
+                     ORDER BY md5('17:' || CAST(whole + 1 AS varchar) || ':' || CAST(doc_id AS varchar)), doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS before
+         FROM rowz WHERE rest > 0)
+SELECT doc_id, domain, lang, source, CAST(e AS int) AS epoch, tokens, tokens AS taken FROM (SELECT *, unnest(range(1, whole + 1)) AS e FROM rowz)
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(whole + 1 AS int), tokens, CAST(least(tokens, rest - before) AS bigint) FROM part WHERE before < rest
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=2048, end_id=1)
 
@@ -42,6 +101,7 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op4_packing": op4_packing,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
@@ -49,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
