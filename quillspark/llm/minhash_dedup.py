@@ -237,3 +237,18 @@ def near_duplicates(
     named = one.select("doc_id", "n_shingles", "set_hi", "set_lo").join(heads, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with all their columns, one of each group: that of smallest id.
+
+    Rows without an id stay.  Of rows that repeat an id one stays, with the smallest text."""
+    found = near_duplicates(documents, id_col, text_col, **options)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
+    rows = documents.join(dropped, documents[id_col].cast("long") == F.col("__dropped"), "left_anti")
+    repeated = documents.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    if repeated.isEmpty():
+        return rows
+    same = rows[id_col] == F.col("__again")
+    one = rows.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*documents.columns), F.struct(text_col)).alias("__row"))
+    return rows.join(repeated, same, "left_anti").unionByName(one.select("__row.*"))
