@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import mixing, quality_nbsvm
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .url_filter import Rule, judge_urls
 
 try:  # the tokenizer files' folder; only a default, every operator takes a path
     import public_tokenizers
@@ -83,6 +84,32 @@ SELECT doc_id, domain, lang, source, CAST(whole + 1 AS int), tokens, CAST(least(
 """
 
 
+URL_RULES = [
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
+OP3_SQL = """
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT DISTINCT ON (host, path) host, path, rule, verdict FROM fits) f ON f.host = parts.host AND f.path = parts.path
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=2048, end_id=1)
 
@@ -102,6 +129,7 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op3_url_filter": op3_url_filter,
         "op4_packing": op4_packing,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
@@ -109,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_url_filter": OP3_SQL}
