@@ -12,6 +12,7 @@ from . import mixing, quality_nbsvm
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .url_filter import Rule, judge_urls
+from .warc_revisit import header_text, resolve_revisits
 
 try:  # the tokenizer files' folder; only a default, every operator takes a path
     import public_tokenizers
@@ -25,6 +26,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records of two crawls, by a fixed rule: the table holds pages only.
+
+    The first crawl fetches page p in full at time p.  The second asks again at time 10,000,000 + p
+    and is told "not modified"; where p mod 17 = 0 it came before the first, at time p - 10,000,000.  The answer's validators: entity tag and date,
+    where p mod 11 = 0 another tag, where p mod 13 = 0 the payload's digest alone."""
+    etag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 16), F.lit('"'))
+    modified = F.concat(F.lit("day "), F.expr("cast(page_id % 365 as string)"))
+    page = pages.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"), F.length("html").cast("long").alias("length"), etag.alias("etag"), modified.alias("modified"))
+    first = page.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("captured"), F.lit("response").alias("kind"),
+        F.create_map(F.lit("ETag"), F.col("etag"), F.lit("Last-Modified"), F.col("modified"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+        "digest", "length",
+    )
+    tag = F.when(F.expr("page_id % 11 = 0"), F.lit('"other"')).otherwise(F.concat(F.lit("W/"), F.col("etag")))
+    full = F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), F.col("modified"), F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Server"), F.lit("edge"))
+    bare = F.create_map(F.lit("Date"), F.lit("later"), F.lit("Content-Type"), F.lit("text/plain"))
+    second = page.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", F.expr("case when page_id % 17 = 0 then page_id - 10000000 else page_id + 10000000 end").alias("captured"), F.lit("revisit").alias("kind"),
+        F.when(F.expr("page_id % 13 = 0"), bare).otherwise(full).alias("headers"), "digest", F.lit(0).cast("long").alias("length"),
+    )
+    return first.union(second)
+
+
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_revisits(captures(table(spark, sf_dir, "pages"))).withColumn("headers", header_text(F.col("headers")))
+
+
+OP1_SQL = r"""
+WITH page AS (
+  SELECT page_id, md5(html) AS digest, CAST(length(html) AS bigint) AS length, '"' || substr(md5(html), 1, 16) || '"' AS etag, 'day ' || CAST(page_id % 365 AS varchar) AS modified,
+         regexp_replace(trim(coalesce(url, ''), ' '), '#.*$', '') AS plain FROM pages),
+keyed AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(plain, '://([^/?]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '^www\.', '')
+            || regexp_replace(regexp_extract(plain, '://[^/?]*([^?]*)', 1), '/+$', '') AS hp,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)'))), '&') AS q
+  FROM page),
+named AS (SELECT *, CASE WHEN instr(plain, '://') = 0 THEN plain ELSE hp || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS url_key FROM keyed),
+revisit AS (
+  SELECT page_id, page_id * 2 + 1 AS record_id, url_key, digest, CASE WHEN page_id % 17 = 0 THEN page_id - 10000000 ELSE page_id + 10000000 END AS captured,
+         page_id % 13 = 0 AS bare, CASE WHEN page_id % 11 = 0 THEN '"other"' ELSE etag END AS tag, CASE WHEN page_id % 11 = 0 THEN '"other"' ELSE 'W/' || etag END AS tag_text, modified
+  FROM named),
+ranked AS (
+  SELECT r.record_id, r.url_key, r.captured, r.bare, r.tag, r.tag_text, r.modified, r.digest AS own,
+         f.page_id AS fid, f.etag AS fetag, f.modified AS fmod, f.digest AS fdigest, f.length AS flength,
+         row_number() OVER (PARTITION BY r.record_id ORDER BY f.page_id DESC NULLS LAST) AS k
+  FROM revisit r LEFT JOIN named f ON f.url_key = r.url_key AND f.page_id < r.captured),
+found AS (SELECT *, CASE WHEN fid IS NULL THEN 'no earlier response' WHEN (NOT bare AND tag <> fetag) OR (bare AND own <> fdigest) THEN 'validators differ' ELSE 'resolved' END AS status FROM ranked WHERE k = 1)
+SELECT record_id, url_key, captured, status, CASE WHEN fid IS NULL THEN NULL WHEN bare THEN 'digest' ELSE 'etag' END AS checked_by,
+       CASE WHEN status = 'resolved' THEN fid * 2 END AS refers_to, fid AS earlier_captured,
+       CASE WHEN status = 'resolved' AND bare THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: later' || chr(10) || 'etag: ' || fetag || chr(10) || 'last-modified: ' || fmod
+            WHEN status = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || tag_text || chr(10) || 'last-modified: ' || modified
+            WHEN bare THEN 'content-type: text/plain' || chr(10) || 'date: later'
+            ELSE 'cache-control: max-age=600' || chr(10) || 'etag: ' || tag_text || chr(10) || 'last-modified: ' || modified || chr(10) || 'server: edge' END AS headers,
+       CASE WHEN status = 'resolved' THEN fdigest ELSE own END AS digest, CASE WHEN status = 'resolved' THEN flength END AS length
+FROM found
+"""
+
+
 #: The target mix of the registered query and of the pipeline.
 MIX = mixing.Weights(
     domain={"web": 0.5, "news": 0.3, "books": 0.2},
@@ -128,6 +188,7 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_revisit": op1_warc_revisit,
         "op2_mixing": op2_mixing,
         "op3_url_filter": op3_url_filter,
         "op4_packing": op4_packing,
@@ -137,4 +198,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_warc_revisit": OP1_SQL, "op2_mixing": OP2_SQL, "op3_url_filter": OP3_SQL}
