@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import mixing, quality_nbsvm
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .perspectives import rotate_perspectives, span_text
 from .url_filter import Rule, judge_urls
 from .warc_revisit import header_text, resolve_revisits
 
@@ -174,6 +175,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=2048, end_id=1)
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("spans", span_text(F.col("spans")))
+
+
+OP5_SQL = """
+WITH said AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, who AS speaker FROM said WHERE who <> 'system'),
+lines AS (
+  SELECT s.conv_id, p.speaker, place // 64 AS part, place, who = p.speaker AS mine,
+         '<|im_start|>' || CASE WHEN who = p.speaker THEN 'assistant' WHEN who = 'system' THEN 'system'
+                                ELSE 'user name=' || regexp_replace(who, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS heading,
+         replace(s.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+ended AS (
+  SELECT *, sum(length(heading) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY place ROWS UNBOUNDED PRECEDING) AS e FROM lines),
+parts AS (
+  SELECT conv_id, speaker, CAST(part AS bigint) AS part, CAST(count(*) AS int) AS messages, string_agg(heading || body, '' ORDER BY place) AS dialogue,
+         coalesce(string_agg(CAST(e - length(body) AS varchar) || '-' || CAST(e AS varchar), ' ' ORDER BY place) FILTER (WHERE mine), '') AS spans
+  FROM ended GROUP BY conv_id, speaker, part)
+SELECT conv_id, speaker, part, messages, dialogue, spans,
+       CAST(sum(length(dialogue)) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS UNBOUNDED PRECEDING) - length(dialogue) AS bigint) AS start
+FROM parts
+"""
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -192,10 +221,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_url_filter": op3_url_filter,
         "op4_packing": op4_packing,
+        "op5_perspectives": op5_perspectives,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisit": OP1_SQL, "op2_mixing": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op1_warc_revisit": OP1_SQL, "op2_mixing": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_perspectives": OP5_SQL}
