@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, quality_nbsvm
 from .minhash_dedup import near_duplicates
+from .order_minhash import edited_neighbours
 from .packing import pack
 from .perspectives import rotate_perspectives, span_text
 from .url_filter import Rule, judge_urls
@@ -215,6 +216,10 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", quality_nbsvm.predicted(F.col("score")).alias("predicted"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisit": op1_warc_revisit,
@@ -224,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_perspectives": op5_perspectives,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
