@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, quality_nbsvm
+from .lm_difference import cross_entropy_difference
 from .minhash_dedup import near_duplicates
 from .order_minhash import edited_neighbours
 from .packing import pack
@@ -216,6 +217,12 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", quality_nbsvm.predicted(F.col("score")).alias("predicted"))
 
 
+def op9_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: all documents labelled as good and not toxic; background: all documents."""
+    targets = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), targets, BYTE_BPE)
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -229,6 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_perspectives": op5_perspectives,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
+        "op9_lm_difference": op9_lm_difference,
         "op10_order_minhash": op10_order_minhash,
     }
 
