@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, quality_nbsvm
+from .cover_tree import near_vectors
 from .lm_difference import cross_entropy_difference
 from .minhash_dedup import near_duplicates
 from .order_minhash import edited_neighbours
@@ -217,6 +218,10 @@ def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", quality_nbsvm.predicted(F.col("score")).alias("predicted"))
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: all documents labelled as good and not toxic; background: all documents."""
     targets = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -236,6 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_perspectives": op5_perspectives,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_nbsvm": op7_quality_nbsvm,
+        "op8_cover_tree": op8_cover_tree,
         "op9_lm_difference": op9_lm_difference,
         "op10_order_minhash": op10_order_minhash,
     }
