@@ -465,7 +465,7 @@ def f_values(spark: SparkSession, d: str) -> list[float]:
     return [found[c] for c in SIX]
 
 
-@query(ANOVA_SQL + "SELECT feature, CAST(5 - row_number() OVER (ORDER BY f DESC) AS int) AS place FROM f QUALIFY place >= 1")
+@query(ANOVA_SQL + "SELECT feature, CAST(5 - row_number() OVER (ORDER BY f DESC) AS int) AS place FROM f QUALIFY row_number() OVER (ORDER BY f DESC) <= 4")
 def topk_features(spark, d):
     """The four highest, the highest last."""
     top = selection.top_ascending(f_values(spark, d), 4)
