@@ -1,0 +1,60 @@
+import math
+from collections import Counter
+
+import pytest
+import tiktoken  # noqa: F401
+
+from quillspark.llm.lm_difference import cross_entropy_difference
+from quillspark.llm.packing import byte_bpe
+from quillspark.llm.queries import BYTE_BPE
+
+from .fixtures import SCHEMA, documents
+
+START = -1
+
+
+def brute(rows, targets, keep=0.8):
+    encoder, _ = byte_bpe(open(BYTE_BPE, "rb").read())
+    ids = [(d, encoder.encode_ordinary(t or "")) for d, t in rows]
+    v = len(encoder.token_byte_values()) + 1
+    tables = []
+    for some in ([x for d, x in ids if d in targets], [x for _, x in ids]):
+        pairs, before, words = Counter(), Counter(), Counter()
+        for x in some:
+            for h, w in zip([START, *x[:-1]], x):
+                pairs[h, w] += 1
+                before[h] += 1
+                words[w] += 1
+        tables.append((pairs, before, words, sum(words.values())))
+    out = []
+    for d, x in ids:
+        losses = []
+        for pairs, before, words, n in tables:
+            total = 0.0
+            for h, w in zip([START, *x[:-1]], x):
+                single = (words[w] + 1) / (n + v)
+                total -= math.log(keep * pairs[h, w] / before[h] + (1 - keep) * single if before[h] else single)
+            losses.append(total / max(1, len(x)))
+        out.append((d, len(x), *losses, losses[0] - losses[1]))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**9, 0])
+def test_equals_counting_by_hand(spark, broadcast_rows):
+    rows = documents(21) + [(None, "an id is missing here", "en", "s", 1), (0, "repeated", "en", "s", 1), (0, "repeated", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "tokens")
+    targets = {r[0] for r in rows if r[0] is not None and r[0] % 3 == 0}
+    marks = spark.createDataFrame([(t,) for t in targets] + [(None,), (0,)], "doc_id long")
+    found = sorted((tuple(r) for r in cross_entropy_difference(df, marks, BYTE_BPE, broadcast_rows=broadcast_rows).collect()), key=str)
+    wanted = sorted(brute([(r[0], r[1]) for r in rows], targets), key=str)
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6))
+    for a, b in zip(sorted(found, key=key), sorted(wanted, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_no_targets_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    found = {r.doc_id: r for r in cross_entropy_difference(df, none, BYTE_BPE).collect()}
+    assert found[1].target_loss > found[1].background_loss and found[2].difference == 0.0 and found[2].tokens == 0
+    assert cross_entropy_difference(df.limit(0), none, BYTE_BPE).collect() == []

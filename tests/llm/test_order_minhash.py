@@ -1,0 +1,109 @@
+import hashlib
+import random
+import re
+import struct
+from collections import Counter
+
+import pytest
+import xxhash
+
+from quillspark.llm.order_minhash import PLACE, PLACE_BITS, edited_neighbours, order_minhash
+
+from .fixtures import SCHEMA, documents, prose, touched
+
+
+def signed(x):
+    x &= 2**64 - 1
+    return x - 2**64 if x >= 2**63 else x
+
+
+def hashed(*parts):
+    """Spark's xxhash64: each part's seed is the hash before."""
+    seed = 42
+    for p in parts:
+        if p is not None:
+            data = p.encode() if isinstance(p, str) else struct.pack("<i", p[0]) if isinstance(p, tuple) else struct.pack("<q", p)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return signed(seed)
+
+
+def brute(text, k=5, length=2, tuples=32):
+    letters = [hashed(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")]
+    if not letters:
+        return []
+    letters += [None] * k
+    count = max(len(letters) - 2 * k, 0) + 1
+    seen, pairs = Counter(), []
+    for i in range(count):
+        top = hashed(*letters[i : i + k]) >> PLACE_BITS
+        pairs.append((hashed(top, (seen[top],)) >> PLACE_BITS << PLACE_BITS) | i)
+        seen[top] += 1
+    pairs.sort()
+    out = []
+    for f in range(tuples):
+        point = -(2**63) + f * (2**64 // tuples)
+        below = sum(p < point for p in pairs)
+        chosen = [pairs[(below + j) % len(pairs)] for j in range(min(length, len(pairs)))]
+        chosen.sort(key=lambda p: signed((p & PLACE) << 40))
+        out.append(hashed(*[signed((p >> PLACE_BITS) << PLACE_BITS) for p in chosen]) & 0x7FFFFFFF)
+    return out
+
+
+def near(a, b):
+    return float(len(a) == len(b)) if not a or not b else sum(x == y for x, y in zip(a, b)) / len(a)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(1)
+    rows = documents(31) + [(5000, "of the of the " * 400, "en", "s", 1), (5001, " ".join(rng.choice("ab") for _ in range(900)), "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "fingerprint")
+    for k, length, tuples in ((5, 2, 32), (2, 3, 8)):
+        texts = {r[0]: r[1] for r in rows}
+        for r in order_minhash(df, k=k, length=length, tuples=tuples).collect():
+            assert r.fingerprint == brute(texts[r.doc_id], k, length, tuples), (k, texts[r.doc_id][:80] if texts[r.doc_id] else None)
+
+
+@pytest.mark.parametrize("rows_per_block", [3, 500])
+def test_edited_texts_and_next_documents(spark, rows_per_block, monkeypatch):
+    from quillspark.llm import order_minhash as module
+
+    monkeypatch.setattr(module.with_next, "__defaults__", (rows_per_block, 65_536))
+    rng = random.Random(2)
+    rows = documents(32, groups=4)
+    rows += [(rows[0][0], "the same id again", "en", "s", 1), (rows[3][0], rows[3][1], "en", "s", 1), (None, "no id", "en", "s", 1), (None, prose(rng, 50), "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("source", "near_next").repartition(5)
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    wanted = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        quarter = len(t) // 4
+        edited = t[: len(t) - quarter] + n[:quarter]
+        a, b, c = brute(t), brute(edited), brute(n)
+        text = lambda f: "".join(f"{x:08x}" for x in f)
+        wanted.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), near(a, b), near(a, c)))
+    found = [tuple(r) for r in edited_neighbours(df).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_sensitive_to_edits(spark):
+    rng = random.Random(3)
+    base = prose(rng, 400)
+    half = base.split(" ")
+    swapped = " ".join(half[200:] + half[:200])
+    rows = [(0, base), (1, touched(rng, base, 3)), (2, touched(rng, base, 60)), (3, prose(rng, 400)), (4, swapped), (5, base)]
+    f = {r.doc_id: r.fingerprint for r in order_minhash(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert f[0] == f[5] and near(f[0], f[1]) > 0.6 > near(f[0], f[2]) > near(f[0], f[3]) == 0.0
+    # moved words keep their k-mers, not their order
+    assert near(f[0], f[4]) < 0.8
+
+
+def test_one_row_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    got = edited_neighbours(df).first()
+    assert got.near_next == 1.0 and got.n_chars == 15
+    assert edited_neighbours(df.limit(0)).collect() == []
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame(documents(1), SCHEMA)
+    plan = edited_neighbours(df)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,0 +1,79 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillspark.llm import quality_nbsvm as q
+from quillspark.llm.words import WordHashes
+
+from .fixtures import EDGES, prose
+
+
+def corpus(n=300, seed=0):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        text = prose(rng, rng.randint(30, 120))
+        bad = rng.random() < 0.3
+        if bad:
+            text = " ".join(w + rng.choice(["%%%", "###"]) for w in text.split()) if rng.random() < 0.5 else " ".join([rng.choice(text.split())] * 60)
+        out.append((i, text, int(not bad)))
+    return out
+
+
+def test_held_out_accuracy_and_defined_cases(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(d, t, "clash") for d, t, _ in rows] + [(10_000 + i, t, "clash") for i, t in enumerate(EDGES)] + [(None, "no id", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = q.fit(docs, labels, q.not_held_out())
+    scored = model.score(docs).withColumn("held", ~q.not_held_out()).collect()
+    assert len(scored) == len(rows) + len(EDGES) + 1
+    assert all(0 <= r.score <= 1 for r in scored)
+    truth = {d: y for d, _, y in rows}
+    held = [r for r in scored if r.held and r.doc_id in truth]
+    assert {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0}
+    right = [(r.score >= 0.3) == bool(truth[r.doc_id]) for r in held]
+    assert np.mean(right) > 0.97
+    empty = {r.score for r in scored if r.doc_id in (10_000, 10_001)}
+    assert len(empty) == 1
+
+
+def test_scores_ignore_held_out_labels(spark):
+    rows = corpus(150, 1)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    flip = lambda d, y: 1 - y if zlib.crc32(str(d).encode()) % 5 == 0 else y
+    scores = [
+        {r.doc_id: r.score for r in q.fit(docs, spark.createDataFrame([(d, f(d, y)) for d, _, y in rows], "doc_id long, quality int"), q.not_held_out()).score(docs).collect()}
+        for f in (lambda d, y: y, flip)
+    ]
+    assert scores[0] == scores[1]
+
+
+def test_one_class_and_no_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in q.fit(docs, none, F.lit(True)).score(docs).collect()} == {0.5}
+    ones = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    assert {r.score for r in q.fit(docs, ones, F.lit(True)).score(docs).collect()} == {0.75}
+    assert q.fit(docs, ones, F.lit(True)).score(docs.limit(0)).collect() == []
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 5))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    rows = [np.arange(5)] * 60
+    w, b = q.dual_coordinate_descent(rows, list(x), y, np.full(60, 1.0), 5, 2000, 1e-9)
+
+    def objective(v):
+        return v @ v / 2 + np.maximum(0, 1 - y * (x @ v[:5] + v[5])).sum()
+
+    best = objective(np.r_[w, b])
+    assert all(objective(np.r_[w, b] + 1e-3 * rng.normal(size=6)) >= best - 1e-7 for _ in range(500))
+
+
+def test_slots_are_distinct_and_bounded():
+    s = q.slots("Of Of Of Of the end", WordHashes())
+    assert (np.diff(s.astype(int)) > 0).all() and s.max() < 1 << q.BITS
+    assert len(q.slots(None, WordHashes())) == 0
