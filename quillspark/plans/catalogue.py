@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..operators.importance import Trees
 from ..sources import synthetic
 from ..sources.datasets import LINE, dataset
 from ..sources.readers import prepare, read_table
+from ..sources.scratch import scratch_dir
+from ..streaming.apply import run_available
 from .benchmarking import compare
 from .synthesizer import FeatureModel, FeatureSynthesizer
 
@@ -243,6 +246,7 @@ def group_query(name: str, how: str, windowed: bool = False) -> None:
 
 for how_ in GROUPED:
     group_query(f"groupby_{how_}", how_)
+QUERIES["groupby_mean_join"], ORACLES["groupby_mean_join"] = QUERIES["groupby_mean"], ORACLES["groupby_mean"]
 group_query("groupby_mean_window", "mean", windowed=True)
 group_query("groupby_median_window", "median", windowed=True)
 #: The seeded choice falls on one aggregate for good.
@@ -304,6 +308,15 @@ def transform_stability(spark, d):
     return made.select(*KEYS, *[r6(c).alias(c) for c in made.columns[2:]])
 
 
+@query(ORACLES["transform_stability"])
+def stream_transform(spark, d):
+    """The same model on a stream of the table's files."""
+    _, model = model_of(spark, d)
+    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    made = run_available(model, spark, d, "lineitem.parquet", out, KEYS).toDF(*KEYS, "g0", "g1", "g2", *SHORT)
+    return made.select(*KEYS, *[r6(c).alias(c) for c in made.columns[2:]])
+
+
 @query(SCALED + "SELECT l_orderkey, l_linenumber, round(qty * disc, 6) AS f0, round(abs(price) - (tax + qty), 6) AS f1, round(qty, 6) AS f2, round(disc, 6) AS f3 FROM x")
 def transform_fanova(spark, d):
     """A model whose test kept two programs and two columns: the others are never computed."""
