@@ -1,32 +1,23 @@
 """Where the operators of this subpackage keep intermediate results.
 
-``saved`` writes a DataFrame below the folder in ``spark.checkpoint.dir``, which
-driver and executors share, and reads it again: lineage is cut, and a lost
-executor takes nothing with it.  ``checkpoint_dir`` sets a folder of its own only
-where the session has none, as in tests.
+``Shelf.saved`` writes a DataFrame below the shared scratch folder and reads it again: lineage is cut, and a
+lost executor takes nothing with it.  What a result still reads stays there until the folder is emptied.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from ..sources.scratch import scratch_dir
 
 
 class Shelf:
     """A folder of written tables for one operator call; ``drop`` removes what is not needed any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def saved(self, df: DataFrame) -> DataFrame:
