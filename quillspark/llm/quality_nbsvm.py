@@ -7,9 +7,9 @@ between the classes, rows are brought to length 1, and a linear hinge-loss model
 them by dual coordinate descent.  A logistic curve over the margins of rows that the fit
 has not seen turns a margin into a probability.
 
-Bound of the fit: at most ``max_rows`` labelled rows, those of smallest ``xxhash64(id)``; their slots
-(a few thousand 4-byte numbers a row) are what the driver holds.  Scoring covers every row and whole texts;
-each executor gets two tables of ``2 ** BITS`` floats.
+Bound of the fit: at most ``max_rows`` labelled rows, those of smallest ``xxhash64(id)``.  Their slots (some thousand 4-byte
+numbers a row) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats.  Scoring covers every row
+and whole texts.
 
 Defined cases
     Null and empty texts have no n-gram; their score is the curve at the model's offset.  Label rows
@@ -170,7 +170,7 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, co
         for r in some:
             v = ratio[r]
             length = np.sqrt(v @ v)
-            values.append(v / length if length else v)
+            values.append((v / length if length else v).astype(np.float32))
         share = label.mean()
         weights = cost * np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
         w, b = dual_coordinate_descent([rank[r] for r in some], values, np.where(label == 1, 1.0, -1.0), weights, size, epochs, 1e-2 * cost)
@@ -186,21 +186,33 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, co
     return model
 
 
+def fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All (id, y, slots) rows to one row, the model."""
+    ids, label, rows = [], [], []
+    for batch in batches:
+        ids.extend(batch.column(0).to_pylist())
+        label.extend(batch.column(1).to_pylist())
+        rows.extend(np.frombuffer(r, np.uint32) for r in batch.column(2).to_pylist())
+    order = np.unique(np.array(ids, np.int64), return_index=True)[1]  # repeated documents teach once
+    order = order[np.random.default_rng(1).permutation(len(order))]
+    model = fit_arrays([rows[i] for i in order], np.array(label, np.int64)[order])
+    values = [[model.ratio.tobytes()], [model.weight.tobytes()], [model.offset], [model.slope], [model.shift]]
+    types = [pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["ratio", "weight", "offset", "slope", "shift"])
+
+
 def fit(documents: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6_000) -> QualityModel:
     """Learn from the labelled rows that ``training``, a condition on the id, admits."""
     known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # at most max_rows ids: small enough for every executor
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(featured(), "id long, y int, slots binary")
-    found = rows.toArrow()
-    ids = found.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    order = order[np.unique(ids[order], return_index=True)[1]]  # repeated documents teach once
-    order = order[np.random.default_rng(1).permutation(len(order))]
-    binary = found.column("slots")
-    return fit_arrays([np.frombuffer(binary[int(i)].as_py(), np.uint32) for i in order], found.column("y").to_numpy()[order].astype(np.int64))
+    # at most max_rows ids: small enough for every executor, and their features for one task
+    rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("id"), "y", "text").mapInArrow(featured(), "id long, y int, slots binary")
+    found = rows.repartition(1).mapInArrow(fitter, "ratio binary, weight binary, offset double, slope double, shift double").collect()
+    if not found:
+        return fit_arrays([], np.empty(0, np.int64))
+    return QualityModel(np.frombuffer(found[0][0], np.float32), np.frombuffer(found[0][1], np.float32), *found[0][2:])
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:
