@@ -4,8 +4,8 @@ Features are indicators of n-grams, hashed into ``2 ** BITS`` slots: words and w
 (A-Z lower-cased), byte trigrams of the text as written, and runs of repeated words.
 Each is scaled by its log-count ratio r = log((a + n1) / (a + N1)) - log((a + n0) / (a + N0))
 between the classes, rows are brought to length 1, and a linear hinge-loss model is fitted to
-them by dual coordinate descent.  A logistic curve over the margins of rows that the fit
-has not seen turns a margin into a probability.
+them by dual coordinate descent.  A logistic curve over margins from cross-validation, so of rows that
+the fit behind them has not seen, turns a margin into a probability.
 
 Bound of the fit: at most ``max_rows`` labelled rows, those of smallest ``xxhash64(id)``.  Their slots (some thousand 4-byte
 numbers a row) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats.  Scoring covers every row
@@ -32,6 +32,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .words import WordHashes, mix
 
 BITS = 20
+FOLDS = 5
 PAIR, BYTES, RUNS = np.uint64(0x51_7CC1B7), np.uint64(0x2F_0B4C47), np.uint64(0x6C_8E9CF5)
 
 
@@ -150,7 +151,7 @@ def featured() -> Callable:
 
 
 def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 40) -> QualityModel:
-    """The model of labelled slot rows (y is 1 or 0); every fifth row is kept for the curve."""
+    """The model of labelled slot rows (y is 1 or 0), with a curve from cross-validation."""
     size = 1 << BITS
     flat = QualityModel(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     if min(y.sum(), (1 - y).sum()) < 2:
@@ -176,13 +177,21 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, co
         w, b = dual_coordinate_descent([rank[r] for r in some], values, np.where(label == 1, 1.0, -1.0), weights, size, epochs, 1e-2 * cost)
         return ratio, w[rank], b
 
-    part = np.arange(len(rows)) % 5
-    fit, held = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
-    if len(set(y[fit])) < 2 or len(set(y[held])) < 2:
-        fit = held = np.arange(len(rows))
-    ratio, w, b = fitted(fit)
-    model = QualityModel(ratio.astype(np.float32), (w * ratio).astype(np.float32), b, 1.0, 0.0)
-    model.slope, model.shift = logistic(model.margins([rows[i] for i in held]), np.where(y[held] == 1, 1.0, -1.0))
+    def model_of(which: np.ndarray) -> QualityModel:
+        ratio, w, b = fitted(which)
+        return QualityModel(ratio.astype(np.float32), (w * ratio).astype(np.float32), b, 1.0, 0.0)
+
+    # the curve is laid through margins of models that haven't seen the row
+    fold = np.empty(len(rows), np.int64)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    margins = np.empty(len(rows))
+    for k in range(FOLDS):
+        held = np.flatnonzero(fold == k)
+        if len(held):
+            margins[held] = model_of(np.flatnonzero(fold != k)).margins([rows[i] for i in held])
+    model = model_of(np.arange(len(rows)))
+    model.slope, model.shift = logistic(margins, np.where(y == 1, 1.0, -1.0))
     return model
 
 
