@@ -107,6 +107,7 @@ def with_next(documents: DataFrame, rows_per_block: int = 500, most_blocks: int
     order = Window.orderBy("head_block")  # one short row per block
     target = F.coalesce(F.lag("head_block").over(order), F.max("head_block").over(Window.partitionBy(F.lit(0))))
     heads = heads.select("head", target.alias("block"))
+    heads = F.broadcast(heads)  # at most most_blocks rows of two numbers
     ghosts = documents.join(heads, documents["doc_id"].cast("long").eqNullSafe(heads["head"])).groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("row"))
     return dealt.union(ghosts.select("block", F.lit(1), "row.doc_id", "row.text"))
 
