@@ -38,7 +38,9 @@ from .storage import Shelf
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Distances within this of a bound are neither pruned nor taken whole; rounding errors are far smaller.
 MARGIN = 1e-6
-TILE = 1024
+#: What single precision may take from a cosine, for each component.
+SINGLE = 2e-7
+TILE = 2048
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -51,26 +53,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def net(points: np.ndarray, radius: float) -> np.ndarray:
-    """For each point the index of a centre within ``radius``; the first point is a centre and centres are further apart than that."""
+    """For each point the index of a centre within ``radius`` (to single precision); the first point is a centre and centres are further apart than that."""
     n = len(points)
     owner = np.full(n, -1)
-    centres: list[int] = []
-    for at in range(0, n, 256):
-        block = np.arange(at, min(n, at + 256))
-        if centres:
-            for c in range(0, len(centres), 4096):
-                part = np.array(centres[c : c + 4096])
-                d = distances(points[block], points[part])
-                near = d.argmin(axis=1)
-                hit = (owner[block] < 0) & (d[np.arange(len(block)), near] <= radius)
-                owner[block[hit]] = part[near[hit]]
+    if n == 1:
+        return np.zeros(1, np.int64)
+    least = 1 - radius * radius / 2
+    fast = points.astype(np.float32)
+    centres = np.empty((0, points.shape[1]), np.float32)
+    names = np.empty(0, np.int64)
+    for at in range(0, n, 512):
+        block = np.arange(at, min(n, at + 512))
+        if len(names):
+            alike = fast[block] @ centres.T
+            near = alike.argmax(axis=1)
+            hit = alike[np.arange(len(block)), near] >= least
+            owner[block[hit]] = names[near[hit]]
         left = block[owner[block] < 0]
-        within = distances(points[left], points[left]) <= radius
+        within = fast[left] @ fast[left].T >= least
+        fresh = []
         for k in range(len(left)):
             if owner[left[k]] < 0:
-                centres.append(int(left[k]))
+                fresh.append(left[k])
                 owner[left[within[k] & (owner[left] < 0)]] = left[k]
                 owner[left[k]] = left[k]
+        names = np.r_[names, np.array(fresh, np.int64)]
+        centres = np.concatenate([centres, fast[fresh]]) if fresh else centres
     return owner
 
 
@@ -206,14 +214,29 @@ def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], l
             if level + 1 < last and len(ki):
                 descend(level + 1, ki, kj)
 
-    top_a, top_b = a.points[a.centre[0]], b.points[b.centre[0]]
-    for s in range(0, len(top_a), TILE):
-        for t in range(s if same else 0, len(top_b), TILE):
-            d = distances(top_a[s : s + TILE], top_b[t : t + TILE])
-            i, j = np.nonzero(d <= a.radius[0][s : s + TILE][:, None] + b.radius[0][t : t + TILE][None, :] + tau + MARGIN)
-            ki, kj = kept(0, i + s, j + t, d[i, j], np.ones(len(i), bool))
-            if len(ki):
-                descend(0, ki, kj)
+    # A level that the next hardly refines says little more than it, but its radii are larger: start at the next.
+    top = 0
+    while top < last - 1 and len(a.centre[top + 1]) + len(b.centre[top + 1]) < 2 * (len(a.centre[top]) + len(b.centre[top])):
+        top += 1
+    # Nodes in the order of their radii, so that one bound for a whole tile is a sharp one for most tiles.
+    order_a, order_b = np.argsort(a.radius[top], kind="stable"), np.argsort(b.radius[top], kind="stable")
+    fast_a, fast_b = (t.points[t.centre[top][o]].astype(np.float32) for t, o in ((a, order_a), (b, order_b)))
+    for s in range(0, len(order_a), TILE):
+        for t in range(s if same else 0, len(order_b), TILE):
+            rows, columns = order_a[s : s + TILE], order_b[t : t + TILE]
+            reach = a.radius[top][rows[-1]] + b.radius[top][columns[-1]] + tau + MARGIN
+            alike = fast_a[s : s + TILE] @ fast_b[t : t + TILE].T
+            near = np.flatnonzero(alike.ravel() >= 1 - reach * reach / 2 - SINGLE * (64 + a.points.shape[1]))
+            i, j = np.divmod(near, len(columns))
+            if same and s == t:
+                i, j = i[i <= j], j[i <= j]
+            i, j = rows[i], columns[j]
+            for k in range(0, len(i), 200_000):
+                ci, cj = i[k : k + 200_000], j[k : k + 200_000]
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.points[a.centre[top][ci]], b.points[b.centre[top][cj]])))
+                ki, kj = kept(top, ci, cj, d, np.zeros(len(ci), bool))
+                if len(ki):
+                    descend(top, ki, kj)
     sums = [sum(f[level][t.node[level]] for level in range(last + 1)) for f, t in zip(found, (a, b), strict=True)]
     return ([sums[0] + sums[1]] if same else sums), links
 
@@ -334,7 +357,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     left = pairs.select(F.col("p").alias("block"), "p", "q", F.lit(0).alias("side"))
     right = pairs.where("p <> q").select(F.col("q").alias("block"), "p", "q", F.lit(1).alias("side"))
     work = blocks.join(left.union(right), "block").select("p", "q", "side", "rep", "weight", "vector")
-    work = work.repartition("p", "q").sortWithinPartitions("p", "q")
+    tasks = sum(na * nb if ca < cb else na * (na + 1) // 2 for ca, na, cb, nb in meet)
+    work = work.repartition(max(1, min(tasks, 20_000)), "p", "q").sortWithinPartitions("p", "q")
     found = shelf.saved(work.mapInArrow(traverser(threshold), "u long, v long, n long"))
 
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
