@@ -33,7 +33,7 @@ from .packing import byte_bpe
 from .storage import Shelf
 
 BITS = 20
-#: Bigrams that a task holds before it hands on sums.
+#: Tokens, then sums, that a task holds before it adds up and hands on.
 HELD = 2_000_000
 
 
@@ -53,39 +53,49 @@ def summed(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[first], [np.add.reduceat(w[order], first) if len(first) else w for w in weights]
 
 
+def in_all(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different bigrams of id arrays, each of which begins with the start mark, and how often they come."""
+    ids = np.concatenate([*parts, [start]]).astype(np.int64)
+    keys = ids[:-1] << BITS | ids[1:]
+    return np.unique(keys[ids[1:] != start], return_counts=True)
+
+
 def counter(source, start: int) -> Callable:
     """(is target, text) to (key, target, everything)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = byte_bpe(source.value)
-        total = [np.empty(0, np.int64)] * 3
-        parts: list[tuple] = []
-        held = 0
-
-        def add_up() -> list[np.ndarray]:
-            joined = [np.concatenate([total[c], *(p[c] for p in parts)]) for c in range(3)]
-            keys, sums = summed(joined[0], joined[1:])
-            return [keys, *sums]
-
-        def out(arrays: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "target", "everything"])
+        begin = np.array([start], np.uint32)
+        docs: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        sums: list[tuple] = []
+        tokens = 0
+
+        def add_up() -> None:
+            for wanted, parts in docs.items():
+                if parts:
+                    keys, times = in_all(parts, start)
+                    sums.append((keys, times if wanted else np.zeros_like(times), times))
+                    parts.clear()
+
+        def out() -> pa.RecordBatch:
+            joined = [np.concatenate([s[c] for s in sums]) for c in range(3)]
+            sums.clear()
+            keys, weights = summed(joined[0], joined[1:])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, *weights)], names=["key", "target", "everything"])
 
         for batch in batches:
             for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int64)
-                if not len(ids):
-                    continue
-                keys, times = np.unique(bigrams(ids, start), return_counts=True)
-                parts.append((keys, times if wanted else np.zeros_like(times), times))
-                held += len(keys)
-                if held >= HELD:
-                    total, parts, held = add_up(), [], 0
-                    if len(total[0]) >= HELD:
-                        yield out(total)
-                        total = [np.empty(0, np.int64)] * 3
-        total = add_up()
-        if len(total[0]):
-            yield out(total)
+                ids = encoder.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                docs[bool(wanted)] += [begin, ids]
+                tokens += len(ids)
+                if tokens >= HELD:
+                    add_up()
+                    tokens = 0
+                    if sum(len(s[0]) for s in sums) >= HELD:
+                        yield out()
+        add_up()
+        if sums:
+            yield out()
 
     return run
 
