@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, NumericType, StringType
+from pyspark.sql.window import Window
+
+from ..sources.scratch import scratch_dir
 
 
 def finite_or_null(column: Column) -> Column:
@@ -47,12 +52,21 @@ def min_max_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, low, high)")
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the different values in sorted order, from 0."""
-    from pyspark.sql.window import Window
+def label_codes(df: DataFrame, column: str, small: int = 100_000) -> DataFrame:
+    """(value, code): the different values in sorted order, from 0.
 
+    Up to ``small`` values are ranked in one task.  More are sorted by ranges, written, and numbered by their place in their
+    range and the sizes of the ranges before it; only those sizes come to the driver."""
     values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    return values.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code"))
+    if values.count() <= small:
+        return values.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code"))
+    path = f"{scratch_dir(df.sparkSession)}/codes-{uuid.uuid4().hex}"
+    values.sort("value").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).select("value", F.shiftright("at", 33).cast("int").alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    sizes = sorted((r["range"], r["count"]) for r in rows.groupBy("range").count().collect())
+    starts = list(accumulate((n for _, n in sizes), initial=0))
+    offsets = df.sparkSession.createDataFrame([(k, start) for (k, _), start in zip(sizes, starts, strict=False)], "range int, start long")
+    return rows.join(F.broadcast(offsets), "range").select("value", (F.col("place") + F.col("start")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -155,4 +155,7 @@ def test_missing_values_and_dtypes(spark):
     assert scaling.text_columns(df).columns == ["s"] and scaling.number_columns(df, "y").columns == ["i", "x"]
     codes = scaling.label_encode(spark.createDataFrame([("b",), ("a",), (None,)], "s string"), ["s"]).collect()
     assert sorted((r.s is None, r.s or 0) for r in codes) == [(False, 0), (False, 1), (True, 0)]
+    many = spark.range(3000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("s"))
+    wanted = {v: k for k, v in enumerate(sorted(f"v{i}" for i in range(3000)))}
+    assert {r.value: r.code for r in scaling.label_codes(many, "s", small=10).collect()} == wanted
     assert math.isclose(metrics.mean_squared_error(spark.createDataFrame([(1.0, 2.0)], "y double, p double"), "y", "p").first()[0], 1.0)
