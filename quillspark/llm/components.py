@@ -1,9 +1,12 @@
-"""Connected components of a graph by alternating large-star and small-star steps.
+"""Connected components of a graph by hooking and pointer jumping.
 
-Every step is a grouped minimum and a join on the grouping key, so a node with very
-many links is summed up map-side and its join partition can be split.  A first pass
-replaces the links within each partition by a spanning star forest (union-find over
-the partition's own links), which leaves at most one link per node and partition.
+A first pass replaces the links within each partition by a spanning star forest (union-find over the partition's
+own links), which leaves at most one link per node and partition.  All links point from a larger node to a smaller one.  Each
+round lets a node keep its smallest end as its pointer, turns its other links into links between the ends, and moves every pointer
+on to where its end points.  It ends when nothing moves; then every node points to the smallest of its component.
+
+A node that very many others point to is a hot key only in the join that moves pointers; its sides are plain
+written tables with one row per node on the other side, so Spark can split such a partition.
 """
 
 from __future__ import annotations
@@ -69,24 +72,23 @@ def components(links: DataFrame, a: str, b: str, shelf: Shelf) -> DataFrame:
     An empty table gives an empty result.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    star = shelf.saved(pairs.mapInArrow(local_forests, "u long, v long"))  # u > v
+    edges = shelf.saved(pairs.mapInArrow(local_forests, "u long, v long").withColumn("moved", F.lit(True)))  # u > v
     while True:
-        both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: neighbours above a node go to the smallest of its surroundings
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: neighbours below a node and the node itself go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = shelf.saved(small.where("u <> v").distinct())
-        # done when every node has one link and no link's end has one of its own
-        ends = after.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        open_ = ends.where("n > 1").select("u").union(after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi"))
-        finished = open_.isEmpty()
-        shelf.drop(star)
-        star = after
+        lowest = edges.groupBy("u").agg(F.min("v").alias("p"), F.max("v").alias("high"))
+        pointers = shelf.saved(lowest)
+        # the other ends of a node hang together with its smallest
+        forks = pointers.where("high > p").select("u", "p")
+        rest = edges.join(forks, "u").where("v > p").select(F.col("v").alias("a"), F.col("p").alias("b")).distinct()
+        ahead = pointers.select(F.col("u").alias("p"), F.col("p").alias("further"))
+        for end in ("a", "b"):
+            rest = rest.join(ahead.withColumnRenamed("p", end), end, "left").withColumn(end, F.coalesce("further", end)).drop("further")
+        rest = rest.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved"))
+        jumped = pointers.join(ahead, "p", "left").select("u", F.coalesce("further", "p").alias("v"), F.col("further").isNotNull().alias("moved"))
+        after = shelf.saved(jumped.union(rest.distinct()))
+        finished = after.where("moved").isEmpty()
+        shelf.drop(edges, pointers)
+        edges = after
         if finished:
             break
-    roots = star.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
