@@ -28,13 +28,13 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 def placed(messages: DataFrame, turns_per_slice: int) -> DataFrame:
     """Adds ``place``: the message's number in its conversation, from 0."""
-    rows = messages.withColumn("__slice", F.coalesce(F.floor(F.col("turn") / turns_per_slice), F.lit(-(2**62))))
-    within = Window.partitionBy("conv_id", "__slice").orderBy("turn", "speaker", "text")
-    sizes = rows.groupBy("conv_id", "__slice").agg(F.count("*").alias("__n"))
-    along = Window.partitionBy("conv_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.select(F.col("conv_id").alias("__c"), F.col("__slice").alias("__s"), (F.sum("__n").over(along) - F.col("__n")).alias("__before"))
-    rows = rows.withColumn("__k", F.row_number().over(within)).join(sizes, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__slice") == F.col("__s")))
-    return rows.withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__slice", "__n", "__c", "__s", "__before", "__k")
+    rows = messages.withColumn("slice", F.coalesce(F.floor(F.col("turn") / turns_per_slice), F.lit(-(2**62))))
+    within = Window.partitionBy("conv", "slice").orderBy("turn", "speaker", "text")
+    sizes = rows.groupBy("conv", "slice").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("conv").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.select("conv", "slice", (F.sum("n").over(along) - F.col("n")).alias("before"))
+    rows = rows.withColumn("k", F.row_number().over(within)).join(sizes, ["conv", "slice"])
+    return rows.withColumn("place", F.col("before") + F.col("k") - 1).drop("slice", "before", "k")
 
 
 def spoken(message: Column, perspective: Column, system_roles: list[str]) -> tuple[Column, Column]:
@@ -51,14 +51,15 @@ def rotate_perspectives(
     """(conv_id, speaker, part, messages, start, dialogue, spans): spans is an array of (start, end), in
     characters of this part's dialogue, end exclusive."""
     roles = list(system_roles)
+    # as a structure the key is never null, so that every step can share one way of dealing
     rows = messages.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+        F.struct(F.col(conv_col).alias("conv_id")).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     parts = placed(rows, turns_per_slice).withColumn("part", F.expr(f"place div {per_part}"))
-    parts = parts.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "text"))).alias("said"))
-    people = rows.where(~F.col("speaker").isin(roles)).select(F.col("conv_id").alias("__c"), F.col("speaker")).distinct()
-    both = parts.join(people, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
+    parts = parts.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "text"))).alias("said"))
+    people = rows.where(~F.col("speaker").isin(roles)).select("conv", "speaker").distinct()
+    both = parts.join(people, "conv")
 
     def lines(m: Column) -> Column:
         heading, body = spoken(m, F.col("speaker"), roles)
@@ -71,9 +72,9 @@ def rotate_perspectives(
     spans = F.transform(F.arrays_zip(ends.alias("end"), F.col("lines").alias("line")), lambda z: F.struct((z["end"] - F.length(z["line"]["body"])).alias("start"), z["end"].alias("end"), z["line"]["mine"].alias("mine")))
     spans = F.transform(F.filter(spans, lambda z: z["mine"]), lambda z: F.struct(z["start"], z["end"]))
     both = both.withColumn("spans", spans)
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("conv", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = (F.sum(F.length("dialogue").cast("long")).over(before) - F.length("dialogue")).alias("start")
-    return both.select("conv_id", "speaker", "part", F.size("lines").alias("messages"), start, "dialogue", "spans")
+    return both.select("conv.conv_id", "speaker", "part", F.size("lines").alias("messages"), start, "dialogue", "spans")
 
 
 def span_text(spans: Column) -> Column:
