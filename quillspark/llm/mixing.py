@@ -10,7 +10,7 @@ already is the sum of its leaves'.
 
 A leaf with T tokens and budget A passes floor(A / T) whole epochs; of the next epoch it
 takes the prefix of A mod T tokens in that epoch's order, which is that of
-md5(seed:epoch:id).  The prefix sum has two levels: sums of 4096 slices of the hash, then
+md5(seed:epoch:id).  The prefix sum has levels: sums of 4096 slices of the hash, summed up digit by digit, then
 running sums within a slice, so that a leaf with a third of all rows is dealt over thousands of groups.
 
 Tokens are maximal runs outside ASCII white space.
@@ -92,6 +92,19 @@ def budgets(leaves: DataFrame, weights: Weights, budget_share: float | None, bud
     return sources.select(*LEAF, "tokens", F.floor(F.round("share", 3)).cast("long").alias("budget"))
 
 
+def sums_before(slices: DataFrame, digits: int) -> DataFrame:
+    """(domain, lang, source, slice, before): the sum of ``n`` over a leaf's smaller slices, digit by digit, so
+    that no window holds more than the 16 slices of one beginning."""
+    begin = F.substring("slice", 1, digits - 1)
+    within = Window.partitionBy(*LEAF, "begin").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = slices.withColumn("begin", begin).withColumn("inside", F.sum("n").over(within) - F.col("n"))
+    if digits == 1:
+        return rows.select(*LEAF, "slice", F.col("inside").alias("before"))
+    above = sums_before(rows.groupBy(*LEAF, F.col("begin").alias("slice")).agg(F.sum("n").alias("n")), digits - 1)
+    above = above.withColumnRenamed("slice", "begin").withColumnRenamed("before", "outside")
+    return rows.join(above, [*LEAF, "begin"]).select(*LEAF, "slice", (F.col("inside") + F.col("outside")).alias("before"))
+
+
 def select_tokens(
     documents: DataFrame, weights: Weights, domain: Column, budget_share: float | None = None, budget: int | None = None, max_epochs: int = 1, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -119,9 +132,8 @@ def select_tokens(
     order = F.md5(F.concat(F.lit(f"{seed}:"), (F.col("whole") + 1).cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     part = rows.where("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("place", order).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     within = Window.partitionBy(*LEAF, "slice").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    along = Window.partitionBy(*LEAF).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.select(*LEAF, "slice", (F.sum("slice_tokens").over(along) - F.col("slice_tokens")).alias("slices_before"))
+    slices = sums_before(part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("n")), SLICE_DIGITS)
+    slices = slices.withColumnRenamed("before", "slices_before")
     part = part.join(slices, [*LEAF, "slice"]).withColumn("before", F.col("slices_before") + F.sum("tokens").over(within) - F.col("tokens"))
     part = part.where("before < rest").withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("before")))
     columns = ["doc_id", *LEAF, "epoch", "tokens", "taken"]
