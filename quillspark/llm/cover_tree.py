@@ -349,11 +349,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     meeting = spark.createDataFrame(meet, "ca long, na int, cb long, nb int")
     # all block pairs of meeting cells; of a cell with itself each pair once
     pairs = meeting.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("ca < cb or i <= j")
-    pairs = pairs.withColumn("p", F.struct("ca", "i")).withColumn("q", F.struct("cb", "j"))
-    name = lambda c, k: F.xxhash64(c, k)
-    pairs = pairs.select(name(F.col("ca"), F.col("i")).alias("p"), name(F.col("cb"), F.col("j")).alias("q"))
+    pairs = pairs.select(F.xxhash64("ca", "i").alias("p"), F.xxhash64("cb", "j").alias("q"))
     blocks = placed.join(F.broadcast(by_cell.select("cell", "blocks")), "cell")
-    blocks = blocks.withColumn("block", name(F.col("cell"), F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))).select("block", "rep", "weight", "vector")
+    blocks = blocks.withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))).select("block", "rep", "weight", "vector")
     left = pairs.select(F.col("p").alias("block"), "p", "q", F.lit(0).alias("side"))
     right = pairs.where("p <> q").select(F.col("q").alias("block"), "p", "q", F.lit(1).alias("side"))
     work = blocks.join(left.union(right), "block").select("p", "q", "side", "rep", "weight", "vector")

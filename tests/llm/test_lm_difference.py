@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import pytest
-import tiktoken  # noqa: F401
 
 from quillspark.llm.lm_difference import cross_entropy_difference
 from quillspark.llm.packing import byte_bpe

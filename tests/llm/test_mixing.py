@@ -53,7 +53,7 @@ def brute(rows, weights, share, epochs, seed):
                     epoch += 1
                     place = lambda x, e=epoch: (hashlib.md5(f"{seed}:{e}:{'' if x[0] is None else x[0]}".encode()).hexdigest(), x[0], x[1])
                     for d, t in sorted(leaves[leaf], key=place):
-                        if left <= 0 and True:
+                        if left <= 0:
                             break
                         out.append((d, *leaf, epoch, t, min(t, left)))
                         left -= t
