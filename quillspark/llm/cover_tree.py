@@ -41,6 +41,10 @@ MARGIN = 1e-6
 #: What single precision may take from a cosine, for each component.
 SINGLE = 2e-7
 TILE = 2048
+#: Child pairs of one node pair beyond which they are taken by matrix products.
+MANY = 4096
+#: Links that are held before they are reduced to a forest.
+HELD = 2_000_000
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -133,37 +137,48 @@ def opened(tree: Tree, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     return which, order[np.repeat(starts[nodes], n) + inside]
 
 
-def crossed(a: Tree, b: Tree, level: int, pa_: np.ndarray, pb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of children of node pairs, some at a time."""
+def crossed(a: Tree, b: Tree, level: int, pa_: np.ndarray, pb: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of children of node pairs, about ``most`` at a time; no single pair has more."""
     if not len(pa_):
         return
     size = np.diff(a.children[level][1])[pa_] * np.diff(b.children[level][1])[pb]
     upto = np.cumsum(size)
     at = 0
     while at < len(pa_):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 500_000, "right")))
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
         which, ca = opened(a, level, pa_[at:end])
         again, cb = opened(b, level, pb[at:end][which])
         yield ca[again], cb
         at = end
 
 
-def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], list[tuple]]:
-    """Weights of linked vectors for each vector of both trees, and links that connect what is linked, as (side, i, side, j) arrays.
-    With ``b`` None the tree meets itself."""
+def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Weights of linked vectors for each vector of both trees, and links that connect what is linked; vectors of
+    ``b`` are numbered behind those of ``a``.  With ``b`` None the tree meets itself."""
     same = b is None
     b = a if same else b
     tau = float(np.sqrt(2 - 2 * threshold))
     last = len(RADII)
     found = [[np.zeros(len(c)) for c in t.centre] for t in (a, b)]
-    links: list[tuple] = []
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    shift = (0, 0 if same else len(a.points))
+    most = max(1024, 6_000_000 // a.points.shape[1])  # pairs whose vectors are laid side by side at once
     tied = [[np.zeros(len(c), bool) for c in t.centre] for t in (a, b)]
 
+    def link(side: int, x: np.ndarray, other: int, y: np.ndarray) -> None:
+        nonlocal held
+        links.append((x + shift[side], y + shift[other]))
+        held += len(x)
+        if held > HELD:
+            links[:] = [forest(*(np.concatenate([p[k] for p in links]) for k in (0, 1)))]
+            held = 0
+
     def taken(level: int, i: np.ndarray, j: np.ndarray) -> None:
         """Node pairs whose vectors are all linked."""
         np.add.at(found[0][level], i, b.weight[level][j])
         np.add.at(found[1][level], j, a.weight[level][i])
-        links.append((0, a.centre[level][i], 1, b.centre[level][j]))
+        link(0, a.centre[level][i], 1, b.centre[level][j])
         if level < last:
             for side, tree, nodes, other, centres in ((0, a, i, 1, b.centre[level][j]), (1, b, j, 0, a.centre[level][i])):
                 new, first = np.unique(nodes, return_index=True)
@@ -174,7 +189,7 @@ def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], l
                 target = np.full(len(tree.centre[level]), -1)
                 target[new[fresh]] = centres[first[fresh]]
                 members = np.flatnonzero(target[tree.node[level]] >= 0)
-                links.append((side, members, other, target[tree.node[level]][members]))
+                link(side, members, other, target[tree.node[level]][members])
 
     def kept(level: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, siblings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Takes whole pairs and gives those to open.  Of ``siblings`` in one tree both orders are given; one counts."""
@@ -204,15 +219,32 @@ def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], l
         members = np.flatnonzero(chosen[a.node[level]])
         found[0][level][nodes] += a.weight[level][nodes]
         found[0][last][members] -= a.weight[last][members]
-        links.append((0, members, 0, a.centre[level][a.node[level][members]]))
+        link(0, members, 0, a.centre[level][a.node[level][members]])
+
+    def onward(level: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, siblings: np.ndarray) -> None:
+        for k in range(0, len(i), most):
+            part = slice(k, k + most)
+            ki, kj = kept(level, i[part], j[part], d[part], siblings[part])
+            if level < last and len(ki):
+                descend(level, ki, kj)
 
     def descend(level: int, i: np.ndarray, j: np.ndarray) -> None:
-        for ci, cj in crossed(a, b, level, i, j):
+        size = np.diff(a.children[level][1])[i] * np.diff(b.children[level][1])[j]
+        for ci, cj in crossed(a, b, level, i[size <= MANY], j[size <= MANY], most):
             x, y = a.points[a.centre[level + 1][ci]], b.points[b.centre[level + 1][cj]]
             d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x, y)))
-            ki, kj = kept(level + 1, ci, cj, d, a.parent[level][ci] == b.parent[level][cj])
-            if level + 1 < last and len(ki):
-                descend(level + 1, ki, kj)
+            onward(level + 1, ci, cj, d, a.parent[level][ci] == b.parent[level][cj])
+        for m, n in zip(i[size > MANY].tolist(), j[size > MANY].tolist(), strict=True):
+            # two crowded nodes: tiles of all pairs of their children
+            every = [opened(t, level, np.array([node]))[1] for t, node in ((a, m), (b, n))]
+            for s in range(0, len(every[0]), TILE):
+                for t in range(0, len(every[1]), TILE):
+                    ci, cj = every[0][s : s + TILE], every[1][t : t + TILE]
+                    alike = a.points[a.centre[level + 1][ci]] @ b.points[b.centre[level + 1][cj]].T
+                    reach = a.radius[level + 1][ci][:, None] + b.radius[level + 1][cj][None, :] + (tau + MARGIN)
+                    x, y = np.nonzero(alike >= 1 - reach * reach / 2 - MARGIN)
+                    d = np.sqrt(np.maximum(0.0, 2 - 2 * alike[x, y]))
+                    onward(level + 1, ci[x], cj[y], d, np.full(len(x), m == n))
 
     # A level that the next hardly refines says little more than it, but its radii are larger: start at the next.
     top = 0
@@ -231,14 +263,16 @@ def dual(a: Tree, b: Tree | None, threshold: float) -> tuple[list[np.ndarray], l
             if same and s == t:
                 i, j = i[i <= j], j[i <= j]
             i, j = rows[i], columns[j]
-            for k in range(0, len(i), 200_000):
-                ci, cj = i[k : k + 200_000], j[k : k + 200_000]
+            for k in range(0, len(i), most):
+                ci, cj = i[k : k + most], j[k : k + most]
                 d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.points[a.centre[top][ci]], b.points[b.centre[top][cj]])))
                 ki, kj = kept(top, ci, cj, d, np.zeros(len(ci), bool))
                 if len(ki):
                     descend(top, ki, kj)
     sums = [sum(f[level][t.node[level]] for level in range(last + 1)) for f, t in zip(found, (a, b), strict=True)]
-    return ([sums[0] + sums[1]] if same else sums), links
+    none = np.empty(0, np.int64)
+    x, y = (np.concatenate([none, *(p[k] for p in links)]) for k in (0, 1))
+    return ([sums[0] + sums[1]] if same else sums), (x, y)
 
 
 def traverser(threshold: float) -> Callable:
@@ -254,12 +288,9 @@ def traverser(threshold: float) -> Callable:
             trees = [Tree(points[o], weight[o]) for o in order if len(o)]
             if not trees or (len(trees) == 1 and table.column(0)[0] != table.column(1)[0]):
                 continue
-            sums, links = dual(trees[0], trees[1] if len(trees) > 1 else None, threshold)
+            sums, (x, y) = dual(trees[0], trees[1] if len(trees) > 1 else None, threshold)
             n = np.concatenate(sums).round().astype(np.int64)
             name = np.concatenate([ids[o] for o in order])
-            shift = (0, len(order[0]) if len(trees) > 1 else 0)
-            pairs = [(x + shift[s], y + shift[t]) for s, x, t, y in links]
-            x, y = (np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in (0, 1))
             low = np.arange(len(name))
             if len(x):
                 by = np.argsort(name, kind="stable")  # forests are of smallest ids

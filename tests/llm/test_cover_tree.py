@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from quillspark.llm import cover_tree
+from quillspark.llm.components import forest
 from quillspark.llm.cover_tree import Tree, dual, near_vectors, net
 
 
@@ -59,6 +61,21 @@ def test_dual_counts_every_link(threshold):
         assert (a.round() == near[:h, h:] @ w[h:]).all() and (b.round() == near[h:, :h] @ w[:h]).all()
 
 
+@pytest.mark.parametrize("spread", [0.05, 0.1, 0.16])
+def test_crowded_nodes_and_reduced_links(monkeypatch, spread):
+    monkeypatch.setattr(cover_tree, "MANY", 50)
+    monkeypatch.setattr(cover_tree, "HELD", 100)
+    rng = np.random.default_rng(7)
+    p = rng.normal(size=8) + spread * np.sqrt(8) * rng.normal(size=(400, 8))
+    p = p / np.linalg.norm(p, axis=1)[:, None]
+    near = p @ p.T >= 0.9
+    np.fill_diagonal(near, False)
+    (got,), (x, y) = dual(Tree(p, np.ones(400)), None, 0.9)
+    assert (got.round() == near.sum(axis=1)).all()
+    root = lambda u, v: dict(zip(*(z.tolist() for z in forest(u, v)), strict=True)) if len(u) else {}
+    assert root(x, y) == root(*np.nonzero(near))
+
+
 @pytest.mark.parametrize("block,cells", [(8192, 64), (40, 5), (64, 1)])
 def test_equals_all_pairs(spark, block, cells):
     vectors = cloud(block)
