@@ -463,14 +463,19 @@ ANOVA_SQL = SIX_SQL + ", f AS (" + " UNION ALL ".join(
 ) + ") "
 
 
-@query(ANOVA_SQL + "SELECT feature, round(f, 3) AS f FROM f")
+def log_f() -> Column:
+    """Large F values magnify the last digits of their sums; on the logarithm both sides can agree."""
+    return F.round(F.ln(1 + F.col("f")), 5).alias("log_f")
+
+
+@query(ANOVA_SQL + "SELECT feature, round(ln(1 + f), 5) AS log_f FROM f")
 def anova_f(spark, d):
-    return selection.anova_f(six(spark, d), SIX, "y").select("feature", F.round("f", 3).alias("f"))
+    return selection.anova_f(six(spark, d), SIX, "y").select("feature", log_f())
 
 
-@query(SIX_SQL + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(pow(corr({c}, t), 2) / (1 - pow(corr({c}, t), 2)) * (count(*) - 2), 3) AS f FROM x" for c in SIX))
+@query(SIX_SQL + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(ln(1 + pow(corr({c}, t), 2) / (1 - pow(corr({c}, t), 2)) * (count(*) - 2)), 5) AS log_f FROM x" for c in SIX))
 def f_regression(spark, d):
-    return selection.regression_f(six(spark, d), SIX, "t").select("feature", F.round("f", 3).alias("f"))
+    return selection.regression_f(six(spark, d), SIX, "t").select("feature", log_f())
 
 
 def f_values(spark: SparkSession, d: str) -> list[float]:
