@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLICE_DIGITS = 4
+#: Copies of a row that one task numbers at most; larger groups are dealt in parts of as many.
+COPIES = 1000
 
 
 def row_hash(columns: list[str], seed: int | None = None) -> Column:
@@ -16,6 +18,26 @@ def row_hash(columns: list[str], seed: int | None = None) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def count_copies(df: DataFrame, number: str = "__copy") -> DataFrame:
+    """The different rows of ``df`` and in ``number`` how many there are of each; sums map-side, so a group of many copies is one row."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(number))
+
+
+def each_copy(counted: DataFrame, number: str = "__copy") -> DataFrame:
+    """All rows again from ``count_copies``, with their place among equal ones, from 0, in ``number``.
+
+    A hash over all columns then tells copies apart, wherever they are stored.  Large groups go to all cores in parts."""
+    columns = [F.col(f"`{c}`") for c in counted.columns if c != number]
+
+    def placed(first: Column, end: Column) -> list[Column]:
+        return [*columns, F.explode(F.sequence(first, end - 1)).alias(number)]
+
+    few = counted.where(F.col(number) <= COPIES).select(*placed(F.lit(0).cast("long"), F.col(number)))
+    parts = counted.where(F.col(number) > COPIES).select(*columns, F.col(number).alias("__end"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1, F.lit(COPIES).cast("long"))).alias("__first"))
+    dealt = parts.repartition(counted.sparkSession.sparkContext.defaultParallelism, *columns, F.col("__first"))
+    return few.unionByName(dealt.select(*placed(F.col("__first"), F.least(F.col("__first") + COPIES, F.col("__end")))))
+
+
 def bucket(hash_: Column, n: int) -> Column:
     """0 to n - 1, from the first 32 bits."""
     return F.conv(F.substring(hash_, 1, 8), 16, 10).cast("long") % n

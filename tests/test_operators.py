@@ -67,6 +67,17 @@ def test_exact_sample(spark):
     assert sampling.exact_sample(copies, 10, sampling.row_hash(["id"])).count() == 10
 
 
+@pytest.mark.parametrize("hot", [0, 500, 3000])
+def test_copies_are_drawn_one_by_one(spark, hot):
+    df = spark.range(9000).select(F.when(F.col("id") < hot, -1.0).otherwise(F.col("id") % 4500).alias("a"), F.lit(None).cast("int").alias("b"))
+    every = sampling.each_copy(sampling.count_copies(df)).cache()
+    assert every.distinct().count() == 9000 and every.drop("__copy").exceptAll(df).isEmpty()
+    drawn = sampling.exact_sample(every, 3000, sampling.row_hash(["a", "b", "__copy"], 1))
+    assert abs(drawn.where("a = -1").count() - hot / 3) < 110
+    again = sampling.exact_sample(sampling.each_copy(sampling.count_copies(df.repartition(1))), 3000, sampling.row_hash(["a", "b", "__copy"], 1))
+    assert drawn.exceptAll(again).isEmpty() and again.count() == 3000
+
+
 def test_correlation_edges(spark):
     rows = [(1.0, 1.0, 2.0, 4.0), (2.0, 2.0, 2.0, 3.0), (3.0, 3.0, 2.0, 2.0), (4.0, 4.1, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")

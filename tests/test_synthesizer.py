@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import importance
 from quillspark.operators.importance import Trees
 from quillspark.plans.benchmarking import compare, report
 from quillspark.plans.synthesizer import FeatureModel, FeatureSynthesizer
@@ -76,6 +78,23 @@ def test_text_labels(spark, table):
     assert made.feature_names
 
 
+def test_sample_takes_a_third_of_each_group_of_copies(spark, monkeypatch):
+    seen = []
+
+    def noted(df, columns, label, *rest, **options):
+        seen.append({(r.f0, r.f1, r[label]): r["count"] for r in df.groupBy("f0", "f1", label).count().collect()})
+        return np.arange(len(columns), dtype=float), None
+
+    monkeypatch.setattr(importance, "importances", noted)
+    coded = spark.range(6000).selectExpr("cast(id % 2 as double) a", "cast(id % 3 = 0 as double) b", "id % 6 = 5 as y").withColumn("y", F.col("y").cast("int"))
+    FeatureSynthesizer(iterations=1, gen_size=1, feat_imps=False, check_corr=False).fit(coded, ["a", "b"], "y")
+    FeatureSynthesizer(iterations=1, gen_size=1, feat_imps=False, check_corr=False, random_state=1).fit(coded, ["a", "b"], "y")
+    assert all(sum(s.values()) == 2000 for s in seen)
+    for found in seen:
+        positives = sum(n for (_, _, y), n in found.items() if y == 1)
+        assert abs(positives - 1000 / 3) < 75
+
+
 def test_errors(spark, table):
     for bad in (dict(task="ranking"), dict(estimator="lgb"), dict(iterations=0), dict(task="regression", trees=Trees())):
         with pytest.raises(ValueError):
