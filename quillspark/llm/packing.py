@@ -48,8 +48,13 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 def byte_bpe(source: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoder of a byte-level BPE file in the JSON form of the ``tokenizers`` library, and
     which ids end a sentence.  Such a file merges in the order of its ids, which is checked, so that
-    tiktoken gives the same ids several times faster."""
-    model = json.loads(source)["model"]
+    tiktoken gives the same ids several times faster.  The file's added tokens are the encoder's special tokens."""
+    file = json.loads(source)
+    model, added = file["model"], {t["content"]: t["id"] for t in file.get("added_tokens") or []}
+    if any(t.get(flag) for t in file.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("this file's added tokens depend on the text around them")
+    if any(a != b and b in a for a in added for b in added):
+        raise ValueError("one of this file's added tokens holds another")
     other = [b for b in range(256) if b not in set(PRINTABLE)]
     raw = {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(other)}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -61,7 +66,7 @@ def byte_bpe(source: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     ends = np.zeros(max(ranks.values()) + 1, bool)
     for token, i in ranks.items():
         ends[i] = any(c in token for c in (b".", b"!", b"?", b"\n")) or token in ("。".encode(), "！".encode(), "？".encode())
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
 
 
 def cheapest_cuts(places: list[int], penalty: list[int], length: int) -> list[int]:
@@ -163,7 +168,7 @@ def packer(source, end_id: int, length: int, sentence: int, inside: int, grid: i
         rows: list[tuple] = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.extend(stream.add(doc, encoder.encode_to_numpy(text.as_py() or "", disallowed_special=())))
+                rows.extend(stream.add(doc, encoder.encode_to_numpy(text.as_py() or "", allowed_special="all")))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -181,7 +186,7 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer`` is the path of a byte-level BPE file on the driver; the file (a few MB) goes to the executors.
-    Strings of special tokens in a text are ordinary text.
+    Where a text holds one of the file's added tokens, that token's id stands, as ``tokenizers`` has it by default.
     """
     source = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

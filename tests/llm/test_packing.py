@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from itertools import combinations
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm.packing import cheapest_cuts, pack, powers
+from quillspark.llm.packing import byte_bpe, cheapest_cuts, pack, powers
 from quillspark.llm.queries import BYTE_BPE
 
 from .fixtures import SCHEMA, documents, prose
@@ -64,6 +65,26 @@ def test_pieces_hold_every_id_once(spark, length, stretch):
     assert sequences.length.sum().max() <= length
 
 
+def test_added_tokens_have_their_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one.  <|endoftext|><|endoftext|>\n\n  two <|endoftext|", "<|ENDOFTEXT|> x<|endoftext|>x 's", "no such token", ""]
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    found = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE_BPE).collect()
+    pieces = {i: sorted((p.start, p.length, p.ids_crc32) for p in found if p.doc_id == i) for i in range(len(texts))}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert {p.doc_tokens for p in found if p.doc_id == i} == {len(ids)}
+        assert pieces[i] == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n, _ in pieces[i]]
+    assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_files_with_other_added_tokens_are_refused():
+    file = json.loads(open(BYTE_BPE, "rb").read())
+    token = file["added_tokens"][0]
+    for more in ({**token, "lstrip": True}, {**token, "content": token["content"] + "2", "id": 50257}):
+        with pytest.raises(ValueError):
+            byte_bpe(json.dumps({**file, "added_tokens": [token, more]}).encode())
+
+
 def test_little_padding_and_order(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, prose(rng, rng.randint(5, 900))) for i in range(200)], "doc_id long, text string").coalesce(1)
