@@ -16,7 +16,7 @@ from ..operators.expressions import PROGRAM_SCHEMA, Call, Leaf, decode, encode,
 from ..operators.generation import TreeSource, column_prior, depth_weights, operator_counts
 from ..operators.importance import Trees
 from ..sources import synthetic
-from ..sources.datasets import LINE, dataset
+from ..sources.datasets import LINE, catalogue, dataset
 from ..sources.readers import prepare, read_table
 from ..sources.scratch import scratch_dir
 from ..streaming.apply import run_available
@@ -663,8 +663,8 @@ def fit_fanova(spark, d):
 
 @query()
 def bench_results(spark, d):
-    sized = Trees(trees=10, depth=4, bins=32)
-    return compare(spark, d, [dataset("line_product"), dataset("line_planted")], {"classification": ["lr"], "regression": ["lr_reg"]}, trees=sized, iterations=1, gen_size=3)
+    """All datasets and end models of the harness, with the fit's defaults."""
+    return compare(spark, d, [each for group in catalogue().values() for each in group])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

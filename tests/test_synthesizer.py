@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import importance
 from quillspark.operators.importance import Trees
+from quillspark.plans import catalogue as queries
 from quillspark.plans.benchmarking import compare, report
 from quillspark.plans.synthesizer import FeatureModel, FeatureSynthesizer
 from quillspark.sources import synthetic
@@ -136,6 +137,15 @@ def test_comparison_and_report(spark, tmp_path):
     assert read_csv(spark, f"file://{tmp_path}/report").count() == 2
 
 
+def test_bench_results_cover_the_harness(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "compare", lambda spark, folder, datasets, *rest, **options: seen.append((datasets, rest, options)))
+    queries.queries()["bench_results"](spark, FOLDER)
+    ((datasets, rest, options),) = seen
+    assert [d.name for d in datasets] == [d.name for group in catalogue().values() for d in group] and len(datasets) == 9
+    assert not rest and not options  # HARNESS and the fit's defaults
+
+
 def test_csv_and_preparation(spark, tmp_path):
     rows = spark.createDataFrame([(i, "ab"[i % 2], float(i), i % 3) for i in range(50)], "id int, s string, x double, target int")
     rows.write.option("header", True).csv(f"file://{tmp_path}/csv")
