@@ -27,8 +27,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Sizes for the queries that fit ensembles: small ones, as their results are checked for form, not speed.
-SMALL = Trees(trees=20, depth=5, bins=32)
 KEYS = ["l_orderkey", "l_linenumber"]
 SHORT = ["qty", "price", "disc", "tax"]
 
@@ -606,7 +604,7 @@ def gen_friedman2(spark, d):
 
 def importance_query(spark: SparkSession, d: str, estimator: str) -> DataFrame:
     table = dataset("line_product").table(spark, d)
-    found, _ = importance.importances(table, LINE, "y", estimator, SMALL)
+    found, _ = importance.importances(table, LINE, "y", estimator, Trees())
     return literal(spark, [(c, float(v)) for c, v in zip(LINE, found, strict=True)], "feature string, importance double")
 
 
@@ -622,7 +620,7 @@ def avg_importances(spark, d):
 
 @query()
 def weighted_importances(spark, d):
-    found = importance.weighted_importances(dataset("line_product").table(spark, d), LINE, "y", Trees(trees=5, depth=5, bins=32))
+    found = importance.weighted_importances(dataset("line_product").table(spark, d), LINE, "y", Trees())
     return literal(spark, [(c, float(v)) for c, v in zip(LINE, found, strict=True)], "feature string, importance double")
 
 
@@ -630,7 +628,7 @@ def weighted_importances(spark, d):
 def tree_paths(spark, d):
     """(tree_id, leaf_no, path) of a fitted forest."""
     rows = importance.assembled(dataset("line_product").table(spark, d), LINE, "y")
-    _, forest = importance.forest_importance(rows, len(LINE), Trees(trees=5, depth=4, bins=32))
+    _, forest = importance.forest_importance(rows, len(LINE), Trees())
     found = [(t, k, p) for t, each in enumerate(tree_paths_.tree_paths(forest)) for k, p in enumerate(each)]
     return literal(spark, found, "tree_id int, leaf_no int, path array<int>")
 
@@ -645,8 +643,7 @@ def select_estimator(spark, d):
 def fitted(spark: SparkSession, d: str, name: str, **options) -> tuple[DataFrame, FeatureModel]:
     data = dataset(name)
     table = data.table(spark, d)
-    sized = Trees(**{**SMALL.__dict__, "task": data.task})
-    return table, FeatureSynthesizer(task=data.task, trees=sized, iterations=2, gen_size=3, **options).fit(table, data.features, "y")
+    return table, FeatureSynthesizer(task=data.task, **options).fit(table, data.features, "y")
 
 
 @query()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import importance
 from quillspark.operators.importance import Trees
+from quillspark.operators.scaling import Scale
 from quillspark.plans import catalogue as queries
 from quillspark.plans.benchmarking import compare, report
 from quillspark.plans.synthesizer import FeatureModel, FeatureSynthesizer
@@ -146,6 +147,36 @@ def test_bench_results_cover_the_harness(spark, monkeypatch):
     assert not rest and not options  # HARNESS and the fit's defaults
 
 
+@pytest.mark.parametrize("name", ["fit_stability", "fit_fanova"])
+def test_registered_fits_have_the_defaults(spark, monkeypatch, name):
+    seen = []
+
+    def noted(maker, df, features, label):
+        seen.append(maker)
+        return FeatureModel(Scale(tuple(features), (0.0,) * len(features), (1.0,) * len(features)), (), (0,))
+
+    monkeypatch.setattr(FeatureSynthesizer, "fit", noted)
+    queries.queries()[name](spark, FOLDER)
+    (maker,) = seen
+    plain = FeatureSynthesizer(task=maker.task)
+    assert (maker.trees, maker.iterations, maker.gen_size) == (plain.trees, plain.iterations, plain.gen_size)
+
+
+@pytest.mark.parametrize("name", ["rf_importances", "avg_importances", "weighted_importances", "tree_paths"])
+def test_registered_ensembles_have_the_defaults(spark, monkeypatch, name):
+    seen = []
+
+    def noted(*given):
+        seen.append(next(g for g in given if isinstance(g, Trees)))
+        raise InterruptedError
+
+    for f in ("importances", "weighted_importances", "forest_importance"):
+        monkeypatch.setattr(importance, f, noted)
+    with pytest.raises(InterruptedError):
+        queries.queries()[name](spark, FOLDER)
+    assert seen == [Trees()]
+
+
 def test_csv_and_preparation(spark, tmp_path):
     rows = spark.createDataFrame([(i, "ab"[i % 2], float(i), i % 3) for i in range(50)], "id int, s string, x double, target int")
     rows.write.option("header", True).csv(f"file://{tmp_path}/csv")
