@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 SLICE_DIGITS = 4
 #: Copies of a row that one task numbers at most; larger groups are dealt in parts of as many.
 COPIES = 1000
+#: Rows of a dealt table in one partition, about, when there are more than the cores take.
+PART_ROWS = 1_000_000
 
 
 def row_hash(columns: list[str], seed: int | None = None) -> Column:
@@ -65,6 +67,13 @@ def exact_sample(df: DataFrame, k: int, hash_: Column) -> DataFrame:
     return inside.drop("__hash", "__slice").unionByName(ranked.where(F.col("__rank") <= k - before).drop("__hash", "__slice", "__rank"))
 
 
+def dealt(df: DataFrame, rows: int, hash_: Column) -> DataFrame:
+    """The ``rows`` rows of ``df`` dealt over all cores by their hash and in its order, so that partitions and their order do not depend on
+    how the table was stored."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    return df.withColumn("__hash", hash_).repartition(parts, "__hash").sortWithinPartitions("__hash").drop("__hash")
+
+
 def split(df: DataFrame, hash_: Column, parts: int = 5, test: int = 0) -> DataFrame:
     """Adds ``split``: "test" for about one in ``parts`` rows, else "train"."""
     return df.withColumn("split", F.when(bucket(hash_, parts) == test, "test").otherwise("train"))

@@ -78,6 +78,21 @@ def test_copies_are_drawn_one_by_one(spark, hot):
     assert drawn.exceptAll(again).isEmpty() and again.count() == 3000
 
 
+@pytest.mark.parametrize("part_rows", [1_000_000, 100])
+def test_dealing_does_not_depend_on_storage(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(sampling, "PART_ROWS", part_rows)
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("a"))
+
+    def parts(stored):
+        every = sampling.each_copy(sampling.count_copies(stored))
+        return sampling.dealt(every, 3000, sampling.row_hash(["a", "__copy"], 1)).rdd.glom().map(lambda p: [tuple(r) for r in p]).collect()
+
+    found = parts(df)
+    assert found == parts(df.repartition(1)) == parts(df.orderBy(F.desc("a")))
+    assert len(found) == max(8, 3000 // part_rows) and sum(map(len, found)) == 3000
+    assert max(sum(a == -1 for a, _ in p) for p in found) < 1000 / len(found) * 2.5
+
+
 def test_correlation_edges(spark):
     rows = [(1.0, 1.0, 2.0, 4.0), (2.0, 2.0, 2.0, 3.0), (3.0, 3.0, 2.0, 2.0), (4.0, 4.1, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")

@@ -97,6 +97,13 @@ def test_sample_takes_a_third_of_each_group_of_copies(spark, monkeypatch):
         assert abs(positives - 1000 / 3) < 75
 
 
+def test_same_features_however_the_table_is_stored(spark, table):
+    def made(stored):
+        return FeatureSynthesizer(iterations=1, gen_size=2, estimator="rf", trees=Trees(trees=5, depth=3)).fit(stored, LINE, "y").feature_names
+
+    assert made(table) == made(table.repartition(1)) == made(table.orderBy("l_tax"))
+
+
 def test_errors(spark, table):
     for bad in (dict(task="ranking"), dict(estimator="lgb"), dict(iterations=0), dict(task="regression", trees=Trees())):
         with pytest.raises(ValueError):
