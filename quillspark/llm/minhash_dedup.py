@@ -7,12 +7,18 @@ Method
        ``rows`` minhashes, are computed; the key of table (i, j) combines band i of
        the first with band j of the second.  ``collection ** 2`` tables so cost
        ``2 * collection * rows`` minhashes.  A pair of similarity s meets in a table with
-       probability (1 - (1 - s**rows)**collection)**2: 0.99993 at s = 0.8 and the defaults.
+       probability (1 - (1 - s**rows)**collection)**2: 0.99985 at s = 0.8 and the defaults.
        Before the tables are formed, documents drop out that share no band of the first or
        none of the second collection with any other: they meet nobody in any table.
-    3. In each table's bucket all members are tied to its smallest one; the connected
-       groups of these ties are families.  Every pair that meets in any table is in one family.
-    4. Families are verified on full sets.  A family is dealt over blocks of about
+    3. The documents that meet in a table are candidates, no more: texts that share a long common passage meet often
+       without being alike.  A signature of a byte for each minhash tells how alike two documents are, and
+       its differences keep the triangle inequality.  In each table's bucket every member is held against one leader.  Those with a
+       share ``NEAR`` of equal bytes or more are tied to it.  Where others are in the bucket, they and all
+       members that could be ``PLAUSIBLE`` with one of them (less than ``NEAR + 1 - PLAUSIBLE`` alike to the leader, by the
+       inequality) meet each other, a bucket's signatures in one task, and plausible pairs are tied.  Buckets of
+       more than ``block`` such members are cut by a further band of either collection first.  A pair of similarity 0.8 isn't
+       plausible with a probability below 1e-4.
+    4. Documents that ties connect are a family, which is verified on full sets.  A family is dealt over blocks of about
        ``block`` documents, each block with the family's first ``ANCHORS`` documents, and all pairs
        of a block are compared by an inverted index.  Families of one block are done then.
        In larger ones, the components found so far are dealt anew and every pair of blocks
@@ -20,10 +26,13 @@ Method
        change the result and are skipped.  No pair of an equal bucket is ever emitted as a row.
     5. The components of the confirmed links are the groups.
 
+    So work grows with the documents, with the square only of large families of texts more than half alike that are no near duplicates.
+
 Defined cases
     Null and empty texts, or texts of white space only, have an empty set and link with nothing;
-    fewer words than the width make one shingle.  Rows with a null id are dropped (they can't be
-    named); rows that repeat an id count as one document with the smallest of their texts; further columns are ignored, whatever their names.  An empty table gives an empty result.
+    fewer words than the width make one shingle.  Rows with a null id can't be named: they link with nothing and get a row each with a
+    null component, kept.  Rows that repeat an id count as one document with the smallest of their texts; further columns are ignored, whatever
+    their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,12 +50,21 @@ from .storage import Shelf
 from .words import WordHashes, mix, odd_multipliers, shingles
 
 ANCHORS = 8
-SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, first array<long>, second array<long>"
+#: Shares of equal signature bytes: from NEAR on a document is tied to its bucket's leader, from PLAUSIBLE on two documents are tied.
+NEAR, PLAUSIBLE = 0.5, 0.65
+#: Products that a worker holds at once.
+HELD = 65_536
+SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, first array<long>, second array<long>, signature binary"
+
 
+def minima(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    step = max(1, HELD // len(values))
+    return np.concatenate([(multipliers[at : at + step, None] * values[None, :]).min(axis=1) for at in range(0, len(multipliers), step)])
 
-def bands(values: np.ndarray, multipliers: np.ndarray, rows: int) -> np.ndarray:
+
+def bands(minhashes: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each run of ``rows`` minhashes."""
-    low = np.array([(values * m).min() for m in multipliers]).reshape(-1, rows)
+    low = minhashes.reshape(-1, rows)
     key = np.arange(len(low), dtype=np.uint64)
     for i in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, i])
@@ -62,14 +80,15 @@ def sketcher(width: int, collection: int, rows: int) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingles(words.of(text.as_py()), width)
                 if not len(found):
-                    out.append((doc, 0, 0, 0, none, none))
+                    out.append((doc, 0, 0, 0, none, none, b""))
                     continue
                 digest = xxhash.xxh3_128_intdigest(found.tobytes())
-                keys = bands(found, multipliers, rows)
-                out.append((doc, len(found), (digest >> 64) - 2**63, digest % 2**64 - 2**63, keys[:collection], keys[collection:]))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_shingles", "set_hi", "set_lo", "first", "second"])
+                low = minima(found, multipliers)
+                keys = bands(low, rows)
+                out.append((doc, len(found), (digest >> 64) - 2**63, digest % 2**64 - 2**63, keys[:collection], keys[collection:], mix(low).astype(np.uint8).tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SKETCH.split(", ")])
 
     return run
 
@@ -168,33 +187,85 @@ def verifier(keys: int, percent: int) -> Callable:
     return run
 
 
+def signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_py(), np.uint8) for x in column])
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, leader, two signatures) to (doc_id, leader, share of equal bytes)."""
+    for batch in batches:
+        if batch.num_rows:
+            share = (signatures(batch.column(2)) == signatures(batch.column(3))).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["doc_id", "leader", "share"])
+
+
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc_id, signature), sorted by bucket, to a spanning forest of each bucket's plausible pairs."""
+    for table in in_runs(batches, 1):
+        doc, found = table.column(1).to_numpy(), signatures(table.column(2))
+        share = np.stack([(found == one).mean(axis=1) for one in found])
+        i, j = np.nonzero(np.triu(share >= PLAUSIBLE, 1))
+        if len(i):
+            u, v = forest(doc[i], doc[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def plausible_links(reps: DataFrame, shelf: Shelf, block: int) -> DataFrame:
+    """(u, v): links that connect every two documents of ``reps`` that meet in a table and are plausible."""
+
+    def shared(side: str) -> DataFrame:
+        """doc_id and those of its band keys that other documents have too."""
+        keys = reps.select("doc_id", F.explode(side).alias("key"))
+        often = keys.groupBy("key").count().where("count > 1").select("key")
+        return keys.join(often, "key").groupBy("doc_id").agg(F.collect_list("key").alias(side))
+
+    both = shelf.saved(shared("first").join(shared("second"), "doc_id"))
+    tables = both.select("doc_id", "second", F.explode("first").alias("i")).select("doc_id", "i", F.explode("second").alias("j"))
+    leaders = tables.groupBy("i", "j").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    met = shelf.saved(tables.join(leaders, ["i", "j"]).where("doc_id <> leader"))
+    marks = reps.select("doc_id", "signature")
+    pairs = met.select("doc_id", "leader").distinct().join(marks, "doc_id").join(marks.select(F.col("doc_id").alias("leader"), F.col("signature").alias("other")), "leader")
+    judged = shelf.saved(pairs.select("doc_id", "leader", "signature", "other").mapInArrow(alike, "doc_id long, leader long, share double"))
+    links = judged.where(F.col("share") >= NEAR).select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+
+    far = judged.where(F.col("share") < NEAR + 1 - PLAUSIBLE)
+    groups = met.where("n > 2").join(far, ["doc_id", "leader"]).select(F.xxhash64("i", "j").alias("bucket"), "i", "j", "doc_id", "share")
+    strange = groups.where(F.col("share") < NEAR).select("bucket").distinct()
+    groups = shelf.saved(groups.join(strange, "bucket", "left_semi").drop("share"))
+    for side, used in (("first", "i"), ("second", "j"), (None, None)):
+        sizes = groups.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b")).where("n > 1")
+        once = sizes.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # many tables hold the same documents
+        groups = groups.join(once, "bucket")
+        work = groups.where(F.col("n") <= block).join(marks, "doc_id").select("bucket", "doc_id", "signature")
+        links = links.union(shelf.saved(work.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(plausible, "u long, v long")))
+        large = shelf.saved(groups.where(F.col("n") > block).drop("n"))
+        if large.isEmpty():
+            return links
+        if side:  # documents that are alike share further bands
+            cut = large.join(both.select("doc_id", side), "doc_id").withColumn("key", F.explode(F.array_except(side, F.array(used))))
+            groups = shelf.saved(cut.select(F.xxhash64("bucket", "key").alias("bucket"), "i", "j", "doc_id"))
+    least = large.groupBy("bucket").agg(F.min("doc_id").alias("v"))
+    return links.union(large.join(least, "bucket").select(F.col("doc_id").alias("u"), "v"))
+
+
 def near_duplicates(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, collection: int = 10, rows: int = 2, block: int = 256
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, collection: int = 18, rows: int = 4, block: int = 256
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document; ``component_id`` is the
     smallest id that links reach, ``kept`` marks it.  See the module's text for the method."""
     spark: SparkSession = documents.sparkSession
     shelf = Shelf(spark, "near-duplicates")
-    plain = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketches = shelf.saved(plain.mapInArrow(sketcher(width, collection, rows), SKETCH))
-    one = sketches
-    if not sketches.groupBy("doc_id").count().where("count > 1").isEmpty():
+    given = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = given.where("doc_id is not null")
+    sketches = shelf.saved(given.mapInArrow(sketcher(width, collection, rows), SKETCH))
+    one = sketches.where("doc_id is not null")
+    if not one.groupBy("doc_id").count().where("count > 1").isEmpty():
         plain = plain.groupBy("doc_id").agg(F.min("text").alias("text"))
         one = shelf.saved(plain.mapInArrow(sketcher(width, collection, rows), SKETCH))
-    reps = shelf.saved(one.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "first", "second")).alias("s")).select("set_hi", "set_lo", "s.*"))
-
-    def shared(side: str) -> DataFrame:
-        """doc_id and those of its band keys that other documents have too."""
-        keys = reps.select("doc_id", F.explode(side).alias("key"))
-        often = keys.groupBy("key").count().where("count > 1").select("key")
-        return keys.join(often, "key").groupBy("doc_id").agg(F.collect_list("key").alias(side))
-
-    tables = shared("first").join(shared("second"), "doc_id")
-    tables = tables.select("doc_id", "second", F.explode("first").alias("i")).select("doc_id", "i", F.explode("second").alias("j"))
-    tables = tables.select("doc_id", F.xxhash64("i", "j").alias("table_key"))
-    leaders = tables.groupBy("table_key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = tables.join(leaders, "table_key").where("doc_id <> leader").select("doc_id", "leader").distinct()
-    family = shelf.saved(components(ties, "doc_id", "leader", shelf).select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
+    best = F.min(F.struct("doc_id", "first", "second", "signature")).alias("s")
+    reps = shelf.saved(one.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(best).select("set_hi", "set_lo", "s.*"))
+    links = plausible_links(reps, shelf, block)
+    family = shelf.saved(components(links, "u", "v", shelf).select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
 
     # all members of a family against those of their block and against its anchors
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -236,19 +307,22 @@ def near_duplicates(
     heads = reps.select("set_hi", "set_lo", F.col("doc_id").alias("rep")).join(classes, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     named = one.select("doc_id", "n_shingles", "set_hi", "set_lo").join(heads, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    nameless = sketches.where("doc_id is null").select("doc_id", "n_shingles", "doc_id", F.lit(True))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")).union(nameless)
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with all their columns, one of each group: that of smallest id.
+    """The documents with all their columns, whatever their names, one of each group: that of smallest id.
 
     Rows without an id stay.  Of rows that repeat an id one stays, with the smallest text."""
     found = near_duplicates(documents, id_col, text_col, **options)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    rows = documents.join(dropped, documents[id_col].cast("long") == F.col("__dropped"), "left_anti")
-    repeated = documents.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
-    if repeated.isEmpty():
-        return rows
-    same = rows[id_col] == F.col("__again")
-    one = rows.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*documents.columns), F.struct(text_col)).alias("__row"))
-    return rows.join(repeated, same, "left_anti").unionByName(one.select("__row.*"))
+    # the whole row is one column beside the id, so that no name of it can clash
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    kept = rows.join(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")), "id", "left_anti")
+    repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    if not repeated.isEmpty():
+        text = F.col("row").getField(text_col)
+        # equal ids of equal texts: the smallest of the whole rows' texts decides
+        one = kept.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.struct(text, F.to_json("row"))).alias("row"))
+        kept = kept.join(repeated, "id", "left_anti").unionByName(one)
+    return kept.select("row.*")

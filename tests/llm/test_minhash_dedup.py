@@ -57,13 +57,72 @@ def test_repeated_and_missing_ids_and_empty_table(spark):
     text = "a b c d e f g h i j"
     rows = [(1, text), (1, text), (1, None), (2, text), (None, text), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted(tuple(r) for r in near_duplicates(df).collect())
-    assert found == [(1, 6, 1, True), (2, 6, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    found = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+    assert found == [(1, 6, 1, True), (2, 6, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 6, None, True)]
     kept = drop_near_duplicates(df).collect()
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_dropping_keeps_columns_that_are_named_like_helpers(spark):
+    schema = "doc_id long, text string, id string, row string, `__dropped` string, `__again` string, kept string"
+    rows = [(1, "a b c d e f", "x", "y", "z", "u", "v"), (2, "a b c d e f", "x", "y", "z", "u", "w"), (3, "other", *"xyzuv"), (3, "other", *"xyzut"), (None, None, *[None] * 5)]
+    df = spark.createDataFrame(rows, schema)
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.kept or "") for r in kept.collect()) == [(0, ""), (1, "v"), (3, "t")]
+    assert drop_near_duplicates(df.limit(0)).columns == df.columns and drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def boilerplate(n, common=60, own=90):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(30_000)}"
+    passage = [word() for _ in range(common)]
+    return [(i, " ".join([*passage, *(word() for _ in range(own))])) for i in range(n)]
+
+
+def test_links_of_texts_that_share_a_passage(spark):
+    rng = random.Random(12)
+    rows = boilerplate(300)
+    rows += [(1000 + i, touched(rng, rows[i][1], rng.choice([0, 1, 2, 3, 4, 8]))) for i in range(150)]
+    rows += [(2000 + i, " ".join(rows[0][1].split()[:110] + [f"x{i}-{k}" for k in range(40)])) for i in range(60)]  # alike in most words, no near duplicates
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows, 5)
+    for block in (256, 8):
+        found = {r[0]: tuple(r[1:]) for r in near_duplicates(df, block=block).collect()}
+        assert found == wanted
+
+
+def test_a_shared_passage_makes_no_family(spark, monkeypatch):
+    """What is dealt for verification must not grow with the square of the documents that share a passage."""
+    held = []
+
+    def counted(links, a, b, shelf):
+        held.append(links.count())
+        return cc.components(links, a, b, shelf)
+
+    monkeypatch.setattr("quillspark.llm.minhash_dedup.components", counted)
+    for n in (1000, 4000):
+        rows = near_duplicates(spark.createDataFrame(boilerplate(n), "doc_id long, text string"), block=16)
+        assert rows.where("kept").count() == n
+    assert sum(held) < 40
+
+
+def test_crowded_buckets_are_cut_and_lose_nothing(spark):
+    """Documents at all distances from a leader, in buckets of more than a block."""
+    rng = random.Random(13)
+    base = prose(rng, 200).split()
+    rows = []
+    for i in range(120):
+        cut = rng.randint(30, 200)
+        other = base[:cut] + [f"y{i // 2}-{k}" for k in range(200 - cut)]
+        rows.append((i, touched(rng, " ".join(other), rng.randint(0, 4))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4, 256):
+        found = {r[0]: tuple(r[1:]) for r in near_duplicates(df, width=4, block=block).collect()}
+        assert found == brute(rows, 4)
+
+
 def test_word_rules():
     hashes = WordHashes()
     assert (hashes.of("A\x0bb c d É") == hashes.of("a b c d É")).all()
