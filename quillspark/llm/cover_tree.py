@@ -2,24 +2,29 @@
 
 Unit vectors are linked if their cosine is at least ``threshold``, that is if their distance is at most tau = sqrt(2 - 2 threshold).
 
-Top: vectors that are equal in every component collapse to the one of smallest id with their number.  A bounded
-sample (``sample`` vectors of smallest hash) gives centres far from each other; every vector goes to its nearest centre's
-cell, and cells of more than ``block`` vectors are dealt over several blocks by hash, so a crowded cell is no single task.
+Cells: vectors that are equal in every component collapse to the one of smallest id with their number.  The rest form one cell for each length of
+vectors, and every cell of more than ``block`` vectors is split into up to ``fan`` cells, level by level: a sample of the cell gives
+the centres, far from each other, and each vector goes to its nearest.  All cells of a level are split at once, and crowded ones are dealt over many tasks.
+A cell all of whose vectors are closer than tau / 2 to its centre is tight: they are all linked with each other, which sums by cell settle, so it needn't be split and
+doesn't meet itself.  Tight or unsplittable cells of more than ``block`` vectors are dealt over blocks by hash.
+Meeting cells are found by descending from the roots: of a pair of cells the pairs of children stay whose centres are no further
+apart than both radii and tau.  Only this table of pairs is written; no cell meets those that its ancestors were pruned from.
 Trees: each block becomes nested levels of nodes with halving radii 1, 1/2, 1/4, 1/8: a node's centre is a vector of the
 block, centres of one parent are further apart than the radius, and every vector below a node is within it; the true covering radius is kept.
-Pairs: two blocks meet in a task unless their centres are further apart than both radii and tau.  The task descends both
+Pairs: the blocks of two meeting cells meet in a task, which descends both
 trees at once: a node pair is pruned if its centres are further apart than both covering radii and tau, is taken whole, without looking at vectors, if
 even its furthest vectors are within tau, and is opened otherwise, down to pairs of vectors, which are compared in double precision.
 Out of a task come, for each vector, its number of links there and the smallest vector that it hangs together with; link pairs are
 never listed.  Sums by vector and connected components over tasks finish the work.
 
-How many block pairs can be pruned depends on the data: vectors without clusters are about equally far from each
-other, so that all blocks meet and comparisons grow with the square of the number of different vectors; this is the price of exactness there.
+How many pairs can be pruned depends on the data: where clusters hold a block or more, a cell meets its neighbours only, and block pairs grow with the number of vectors.  Vectors without
+clusters, or with many small ones, whose centres then are such vectors, are about equally far from each other, so that all cells meet and comparisons grow with the square of the number of different vectors; this is the price of exactness there.
 
 Defined cases
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths don't link.
-    Rows that repeat an id are vectors of their own, which get a row each; "other vectors" counts rows.  Rows with a null id are left out: they can't be named.
-    An empty table gives an empty result.  Further columns are ignored.
+    Components of any size count, from the smallest double to the largest: vectors are scaled by their largest component before their norm is taken.
+    Rows that repeat an id are vectors of their own, which get a row each; "other vectors" counts rows.  Rows with a null id can't be named: they link with nothing
+    and get a row each with a null component, kept.  An empty table gives an empty result.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -45,10 +51,13 @@ TILE = 2048
 MANY = 4096
 #: Links that are held before they are reduced to a forest.
 HELD = 2_000_000
+#: Levels of cells; what is still crowded then is dealt by hash.
+LEVELS = 40
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
     rows = np.stack([np.frombuffer(r, np.float64) for r in raw])
+    rows = rows / np.abs(rows).max(axis=1)[:, None]  # squares of what is left neither vanish nor overflow
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
@@ -306,35 +315,121 @@ def traverser(threshold: float) -> Callable:
 
 
 def spread(points: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` points, each the furthest from those before; the first level of the whole."""
+    """At most ``most`` different points, each drawn with the square of its distance to those before as its weight, from a fixed seed."""
+    rng = np.random.default_rng(0)
     chosen = [0]
     away = distances(points, points[:1])[:, 0]
     while len(chosen) < most and away.max() > MARGIN:
-        chosen.append(int(away.argmax()))
+        weight = np.where(away > MARGIN, away, 0.0) ** 2
+        chosen.append(int(rng.choice(len(points), p=weight / weight.sum())))
         away = np.minimum(away, distances(points, points[chosen[-1:]])[:, 0])
     return points[chosen]
 
 
-def placer(centres) -> Callable:
+def seeder(block: int, fan: int) -> Callable:
+    """Rows (cell, n, rep, vector) of samples, sorted by cell, to (cell, kid, centre); nothing for cells that can't be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_runs(batches, 1):
+            order = np.argsort(table.column(2).to_numpy(), kind="stable")
+            raw = table.column(3).to_pylist()
+            n, cell = table.column(1)[0].as_py(), table.column(0)[0].as_py()
+            found = spread(unit([raw[k] for k in order]), min(fan, max(2, -(-n // block))))
+            if len(found) > 1:
+                kids = [xxhash.xxh3_64_intdigest(f"{cell}/{k}") - 2**63 for k in range(len(found))]
+                columns = [pa.array([cell] * len(kids), pa.int64()), pa.array(kids, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "kid", "centre"])
+
+    return run
+
+
+def placer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, part, kind, id, weight, vector), sorted by (cell, part), to (rep, weight, vector, cell, away) of those of kind 1; kind 0 are the cell's centres."""
+    for table in in_runs(batches, 2):
+        kind, ids = table.column(2).to_numpy(), table.column(3).to_numpy()
+        at, members = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        if not len(members):
+            continue
+        at = at[np.argsort(ids[at])]
+        d = distances(unit(table.column(5).take(pa.array(members)).to_pylist()), unit(table.column(5).take(pa.array(at)).to_pylist()))
+        near = d.argmin(axis=1)
+        rows = table.take(pa.array(members)).combine_chunks().to_batches()[0]
+        columns = [rows.column(3), rows.column(4), rows.column(5), pa.array(ids[at][near]), pa.array(d[np.arange(len(members)), near])]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "weight", "vector", "cell", "away"])
+
+
+def meeting(tau: float) -> Callable:
+    """Rows (a, b, two radii, two centres) to those pairs whose cells may hold a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            cell, away = np.zeros(len(raw), np.int64), np.zeros(len(raw))
-            sizes = np.array([len(r) // 8 for r in raw])
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                if (own := centres.value.get(int(size))) is None:  # no vector of this length is in the sample
-                    away[at] = 2.0
-                    cell[at] = int(size) << 20
-                    continue
-                d = distances(unit([raw[k] for k in at]), own)
-                near = d.argmin(axis=1)
-                cell[at], away[at] = (int(size) << 20) + near, d[np.arange(len(at)), near]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+            if not batch.num_rows:
+                continue
+            a, b, ra, rb = (batch.column(k).to_numpy() for k in range(4))
+            x, y = (np.stack([np.frombuffer(v.as_py(), np.float64) for v in batch.column(k)]) for k in (4, 5))
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x, y)))
+            near = np.flatnonzero((a == b) | (apart <= ra + rb + tau + MARGIN))
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
 
     return run
 
 
+def cells(reps: DataFrame, tau: float, block: int, fan: int, sample: int, shelf: Shelf) -> tuple[DataFrame, DataFrame, int]:
+    """``reps`` (rep, weight, vector) with the leaf cell of each; all cells (cell, parent, centre, radius, n, tight, inner); the number of levels below the roots."""
+    placed = reps.select("rep", "weight", "vector", F.expr("octet_length(vector) div 8").cast("long").alias("cell"), F.lit(2.0).alias("away"))
+    settled, nodes, seeds, level = None, None, None, 0
+    while True:
+        sizes = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+        sizes = shelf.saved(sizes.withColumn("tight", 2 * F.col("radius") <= tau - MARGIN))
+        crowded = sizes.where((F.col("n") > block) & ~F.col("tight") & F.lit(level < LEVELS)).select("cell", "n")
+        some = placed.join(crowded, "cell").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n")) < sample)  # about ``sample`` of each cell
+        drawn = some.select("cell", "n", "rep", "vector").repartition("cell").sortWithinPartitions("cell")
+        found = shelf.saved(drawn.mapInArrow(seeder(block, fan), "cell long, kid long, centre binary"))
+        inner = found.select("cell").distinct().withColumn("inner", F.lit(True))
+        known = sizes.join(inner, "cell", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        if seeds is None:
+            known = known.withColumns({"parent": F.lit(None).cast("long"), "centre": F.lit(None).cast("binary")})
+        else:
+            known = known.join(seeds.select(F.col("kid").alias("cell"), F.col("cell").alias("parent"), "centre"), "cell")
+        known = known.select("cell", "parent", "centre", "radius", "n", "tight", "inner")
+        nodes = known if nodes is None else nodes.union(known)
+        rest = placed.join(inner, "cell", "left_anti").select("rep", "weight", "vector", "cell")
+        settled = rest if settled is None else settled.union(rest)
+        if found.isEmpty():
+            return settled, shelf.saved(nodes), level
+        # the members of a crowded cell in parts, its centres in each of them
+        parts = crowded.join(inner.select("cell"), "cell").select("cell", F.ceil(F.col("n") / (4 * block)).cast("int").alias("parts"))
+        members = placed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("rep").alias("id"), "weight", "vector")
+        centres = found.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "kid", F.lit(0).cast("long").alias("weight"), "centre")
+        dealt = members.union(centres).repartition("cell", "part").sortWithinPartitions("cell", "part")
+        placed = shelf.saved(dealt.mapInArrow(placer, "rep long, weight long, vector binary, cell long, away double"))
+        seeds, level = found, level + 1
+
+
+def meeting_blocks(nodes: DataFrame, levels: int, tau: float, block: int, shelf: Shelf) -> DataFrame:
+    """(p, q): the pairs of blocks that may hold links."""
+    kids = nodes.where("parent is not null").select(F.col("parent").alias("node"), F.col("cell").alias("kid")).union(nodes.where("not inner").select("cell", "cell"))
+    frontier = nodes.where("parent is null").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    for _ in range(levels):
+        for end in ("a", "b"):
+            frontier = frontier.join(kids.select(F.col("node").alias(end), F.col("kid").alias(f"{end}_kid")), end)
+        frontier = frontier.where("a <> b or a_kid <= b_kid").select(F.col("a_kid").alias("a"), F.col("b_kid").alias("b"))
+        for end in ("a", "b"):
+            frontier = frontier.join(nodes.select(F.col("cell").alias(end), F.col("radius").alias(f"r{end}"), F.col("centre").alias(f"c{end}")), end)
+        alone = frontier.where("ca is null or cb is null").select("a", "b")  # roots that were never split meet themselves
+        frontier = frontier.where("ca is not null and cb is not null").select("a", "b", "ra", "rb", "ca", "cb").mapInArrow(meeting(tau), "a long, b long")
+        frontier = shelf.saved(frontier.union(alone))
+    for end in ("a", "b"):
+        leaf = nodes.select(F.col("cell").alias(end), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias(f"{end}_block"), F.col("tight").alias(f"{end}_tight"))
+        frontier = frontier.join(leaf, end)
+    frontier = frontier.where("a <> b or (not a_tight and a_block <= b_block)")
+    return frontier.select(block_of("a", F.col("a_block")).alias("p"), block_of("b", F.col("b_block")).alias("q"))
+
+
+def block_of(cell: str, number: Column) -> Column:
+    return F.xxhash64(F.col(cell), number.cast("int"))
+
+
 def packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, array of doubles) to (vec_id, its bytes)."""
     for batch in batches:
@@ -345,50 +440,31 @@ def packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["vec_id", "vector"])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = 8192, sample: int = 2048, most_cells: int = 64) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = 8192, fan: int = 32, sample: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    spark = vectors.sparkSession
-    shelf = Shelf(spark, "near-vectors")
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null")
+    shelf = Shelf(vectors.sparkSession, "near-vectors")
+    tau = float(np.sqrt(2 - 2 * threshold))
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce((F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    valid = given.where(usable).mapInArrow(packer, "vec_id long, vector binary")
-    valid = shelf.saved(valid)
+    usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
+    valid = shelf.saved(given.where(usable).mapInArrow(packer, "vec_id long, vector binary"))
     reps = shelf.saved(valid.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "vector"))
 
-    count = reps.count()
-    cells = min(most_cells, -(-count // block))
-    some = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow().column("vector").to_pylist()  # at most ``sample`` vectors
-    centres = {}
-    for size in {len(r) for r in some}:
-        centres[size // 8] = spread(unit([r for r in some if len(r) == size]), max(1, cells))
-    shared = spark.sparkContext.broadcast(centres)
-    placed = shelf.saved(reps.mapInArrow(placer(shared), "rep long, weight long, vector binary, cell long, away double"))
-    by_cell = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = by_cell.collect()  # at most most_cells for each length of vectors
-    tau = float(np.sqrt(2 - 2 * threshold))
-    meet = []
-    for x in sizes:
-        for y in sizes:
-            if x["cell"] <= y["cell"] and x["cell"] >> 20 == y["cell"] >> 20:
-                own = centres.get(x["cell"] >> 20)
-                apart = 0.0 if own is None else float(distances(own[[x["cell"] % (1 << 20)]], own[[y["cell"] % (1 << 20)]])[0, 0])
-                if apart <= x["radius"] + y["radius"] + tau + MARGIN:
-                    meet.append((x["cell"], x["blocks"], y["cell"], y["blocks"]))
-    meeting = spark.createDataFrame(meet, "ca long, na int, cb long, nb int")
-    # all block pairs of meeting cells; of a cell with itself each pair once
-    pairs = meeting.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("ca < cb or i <= j")
-    pairs = pairs.select(F.xxhash64("ca", "i").alias("p"), F.xxhash64("cb", "j").alias("q"))
-    blocks = placed.join(F.broadcast(by_cell.select("cell", "blocks")), "cell")
-    blocks = blocks.withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))).select("block", "rep", "weight", "vector")
+    settled, nodes, levels = cells(reps, tau, block, fan, sample, shelf)
+    pairs = shelf.saved(meeting_blocks(nodes, levels, tau, block, shelf))
+    leaves = nodes.where("not inner").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    blocks = settled.join(leaves, "cell").select(block_of("cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks"))).alias("block"), "rep", "weight", "vector")
     left = pairs.select(F.col("p").alias("block"), "p", "q", F.lit(0).alias("side"))
     right = pairs.where("p <> q").select(F.col("q").alias("block"), "p", "q", F.lit(1).alias("side"))
     work = blocks.join(left.union(right), "block").select("p", "q", "side", "rep", "weight", "vector")
-    tasks = sum(na * nb if ca < cb else na * (na + 1) // 2 for ca, na, cb, nb in meet)
-    work = work.repartition(max(1, min(tasks, 20_000)), "p", "q").sortWithinPartitions("p", "q")
+    # a partition takes its pairs of blocks one after the other, so that few partitions hold no more memory than many
+    work = work.repartition(max(1, min(pairs.count(), 20_000)), "p", "q").sortWithinPartitions("p", "q")
     found = shelf.saved(work.mapInArrow(traverser(threshold), "u long, v long, n long"))
+    tight = settled.join(nodes.where("tight and not inner").select("cell"), "cell")
+    sums = tight.groupBy("cell").agg(F.sum("weight").alias("all"), F.min("rep").alias("low"))
+    found = found.union(tight.join(sums, "cell").select("rep", "low", F.col("all") - F.col("weight")).where("all - weight > 0"))
 
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
     classes = components(found.where("u <> v"), "u", "v", shelf)
@@ -396,4 +472,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = known.select("vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = valid.join(known, "vector").select("vec_id", "n_links", "component_id")
     alone = given.where(~usable).select("vec_id", F.lit(0).cast("long"), "vec_id")
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

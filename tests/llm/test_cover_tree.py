@@ -4,6 +4,7 @@ import pytest
 from quillspark.llm import cover_tree
 from quillspark.llm.components import forest
 from quillspark.llm.cover_tree import Tree, dual, near_vectors, net
+from quillspark.llm.storage import Shelf
 
 
 def cloud(seed, n=300, dim=8):
@@ -76,14 +77,14 @@ def test_crowded_nodes_and_reduced_links(monkeypatch, spread):
     assert root(x, y) == root(*np.nonzero(near))
 
 
-@pytest.mark.parametrize("block,cells", [(8192, 64), (40, 5), (64, 1)])
-def test_equals_all_pairs(spark, block, cells):
+@pytest.mark.parametrize("block,fan", [(8192, 32), (40, 5), (16, 2)])
+def test_equals_all_pairs(spark, block, fan):
     vectors = cloud(block)
     ids = [int(x) for x in np.random.default_rng(2).permutation(len(vectors)) * 3]
     rows = [(i, v.tolist(), "clash") for i, v in zip(ids, vectors)]
     odd = [(-1, None, "c"), (-2, [], "c"), (-3, [0.0] * 8, "c"), (-4, [float("nan")] * 8, "c"), (-5, [1.0, None, *[0.0] * 6], "c"), (-6, [float("inf")] + [0.0] * 7, "c"), (-7, [1.0, 2.0], "c"), (-8, [2.0, 4.0], "c")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, n_links string")
-    found = {r[0]: tuple(r[1:]) for r in near_vectors(df, threshold=0.9, block=block, most_cells=cells).collect()}
+    found = {r[0]: tuple(r[1:]) for r in near_vectors(df, threshold=0.9, block=block, fan=fan, sample=64).collect()}
     wanted = brute(ids, vectors, 0.9) | {-k: (0, -k, True) for k in range(1, 7)} | {-7: (1, -8, False), -8: (1, -8, True)}
     assert found == wanted
 
@@ -100,4 +101,43 @@ def test_large_group_of_copies_and_empty_table(spark):
 
 def test_repeated_ids_get_a_row_each(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in near_vectors(df).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+    assert sorted((tuple(r) for r in near_vectors(df).collect()), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)]
+
+
+@pytest.mark.parametrize("size", [1e-300, 1e-200, 1e-320, 1.0, 1e200, 1e307])
+def test_components_of_any_size(spark, size):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 0.01 * rng.normal(size=8)).tolist()) for i in range(50)] + [(100, (base * size).tolist()), (101, [size, *[0.0] * 7]), (102, [0.0, -size, *[0.0] * 6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r[0]: tuple(r[1:]) for r in near_vectors(df, block=16).collect()}
+    # the smallest doubles are so few that a scaled vector is a coarse one
+    assert all(found[i][0] == 50 and found[i][1] == 0 for i in [*range(50), 100]) and found[101][0] == found[102][0] == 0
+
+
+def clusters(n, dim=16, spread=0.02):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(n // 200, dim))
+    return np.repeat(centres, 200, axis=0) + spread * rng.normal(size=(len(centres) * 200, dim))
+
+
+def test_block_pairs_of_clustered_vectors_grow_with_their_number(spark):
+    tau = np.sqrt(2 - 2 * 0.98)
+    made = []
+    for n in (2000, 8000):
+        shelf = Shelf(spark, "test")
+        rows = [(i, 1, (v / np.linalg.norm(v)).tobytes()) for i, v in enumerate(clusters(n))]
+        reps = shelf.saved(spark.createDataFrame(rows, "rep long, weight long, vector binary"))
+        settled, nodes, levels = cover_tree.cells(reps, tau, 64, 8, 256, shelf)
+        assert settled.count() == n and settled.select("rep").distinct().count() == n and levels > 1
+        made.append(cover_tree.meeting_blocks(nodes, levels, tau, 64, shelf).count())
+    assert made[1] < 6 * made[0]  # all pairs of blocks: sixteen times as many
+
+
+def test_tight_cells_are_not_taken_by_pairs(spark):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=8)
+    vectors = np.concatenate([base + 1e-3 * rng.normal(size=(300, 8)), -base + 1e-3 * rng.normal(size=(5, 8)), rng.normal(size=(40, 8))])
+    ids = list(range(1, len(vectors) + 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    assert {r[0]: tuple(r[1:]) for r in near_vectors(df, block=8, fan=4, sample=32).collect()} == brute(ids, vectors, 0.9)
