@@ -5,17 +5,22 @@ mark, and have the same form: interpolated bigrams,
 
     p(w | h) = keep * c(h, w) / c(h) + (1 - keep) * (c(w) + 1) / (N + V)        (keep = 0 where c(h) = 0)
 
-with counts from all target documents and from all documents.  A document's score is the mean over its tokens of
--ln p_target + ln p_background: the lower, the more it is like the target.
-
-Counting: each task adds up its documents' bigrams and hands on one row per different one; sums by bigram
-follow.  The bigram table so grows with the corpus and isn't cut.  Sums by word or by predecessor have at most V rows and are
-broadcast.  Scoring: while the table has at most ``broadcast_rows`` rows (20 bytes each), every executor gets it
-and looks up in sorted arrays; beyond, each document's different bigrams are joined with it.  Both ways give the same losses.
+with counts from all target documents and from all documents.  A document is scored by the counts of the others: its own
+are taken off the background's and, if it is a target document, the target's, so that no document is likely just because
+it was counted.  Its score is the mean over its tokens of -ln p_target + ln p_background: the lower, the more it is like the target.
+
+One plan at any size
+    1. Texts are encoded once and written as ids, in chunks of about ``CHUNK`` tokens of neighbouring documents.
+    2. Each task adds up its documents' bigrams and hands on one row per different one; sums by bigram
+       follow.  The bigram table so grows with the corpus and isn't cut; it is never broadcast or sent to the driver.  Target documents are
+       found by a join of ids, without texts, and marked chunk by chunk.  Counts by word and by predecessor have at most V rows and are broadcast.
+    3. Each chunk asks the bigram table for its different bigrams, one row each however often its documents hold them, and
+       meets the answers in one group, where its documents look them up.
 
 Defined cases
-    Null and empty texts have no tokens and differences of 0.0.  Null ids are kept.  Rows that repeat an id are counted and scored each; they are target
-    documents all or none.  Without target documents the target model is uniform; an empty table gives an empty result.  Further columns are ignored.
+    Null and empty texts have no tokens and differences of 0.0.  Null ids are kept and are no target.  Rows that repeat an id are counted and scored each; they are target
+    documents all or none.  Without target documents the target model is uniform; an empty table gives an empty result.  A text of any length is
+    one document in one chunk.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,27 +30,21 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import byte_bpe
 from .storage import Shelf
 
 BITS = 20
+#: Tokens of a chunk, about.
+CHUNK = 2_000_000
 #: Tokens, then sums, that a task holds before it adds up and hands on.
 HELD = 2_000_000
 
 
-def bigrams(ids: np.ndarray, start: int) -> np.ndarray:
-    """(predecessor, word) of every token as one long."""
-    before = np.empty(len(ids), np.int64)
-    if len(ids):
-        before[0] = start
-        before[1:] = ids[:-1]
-    return before << BITS | ids
-
-
 def summed(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -53,40 +52,59 @@ def summed(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[first], [np.add.reduceat(w[order], first) if len(first) else w for w in weights]
 
 
-def in_all(parts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different bigrams of id arrays, each of which begins with the start mark, and how often they come."""
+def bigrams(parts: list[np.ndarray], start: int) -> np.ndarray:
+    """(predecessor, word) of every token of id arrays that begin each with the start mark, as longs."""
     ids = np.concatenate([*parts, [start]]).astype(np.int64)
     keys = ids[:-1] << BITS | ids[1:]
-    return np.unique(keys[ids[1:] != start], return_counts=True)
+    return keys[ids[1:] != start]
 
 
-def counter(source, start: int) -> Callable:
-    """(is target, text) to (key, target, everything)."""
+def encoded(source, small: bool) -> Callable:
+    """(doc_id, text) to (chunk, doc_id, tokens, ids); ids in two bytes each if they are ``small``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = byte_bpe(source.value)
-        begin = np.array([start], np.uint32)
-        docs: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        context = TaskContext.get()
+        chunk, size = (context.partitionId() if context else 0) << 32, 0
+        for batch in batches:
+            chunks, n, raw = [], [], []
+            for text in batch.column(1):
+                ids = encoder.encode_to_numpy(text.as_py() or "", allowed_special="all")
+                if size and size + len(ids) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += len(ids)
+                chunks.append(chunk)
+                n.append(len(ids))
+                raw.append(ids.astype("<u2" if small else "<u4").tobytes())
+            columns = [pa.array(chunks, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "tokens", "ids"])
+
+    return run
+
+
+def counter(start: int, small: bool) -> Callable:
+    """(ids) to (key, n)."""
+    kind, begin = "<u2" if small else "<u4", np.array([start], np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
         sums: list[tuple] = []
         tokens = 0
 
         def add_up() -> None:
-            for wanted, parts in docs.items():
-                if parts:
-                    keys, times = in_all(parts, start)
-                    sums.append((keys, times if wanted else np.zeros_like(times), times))
-                    parts.clear()
+            if parts:
+                sums.append(np.unique(bigrams(parts, start), return_counts=True))
+                parts.clear()
 
         def out() -> pa.RecordBatch:
-            joined = [np.concatenate([s[c] for s in sums]) for c in range(3)]
+            keys, (n,) = summed(np.concatenate([s[0] for s in sums]), [np.concatenate([s[1] for s in sums])])
             sums.clear()
-            keys, weights = summed(joined[0], joined[1:])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, *weights)], names=["key", "target", "everything"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
         for batch in batches:
-            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode_to_numpy(text.as_py() or "", disallowed_special=())
-                docs[bool(wanted)] += [begin, ids]
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_py(), kind)
+                parts += [begin, ids]
                 tokens += len(ids)
                 if tokens >= HELD:
                     add_up()
@@ -100,92 +118,117 @@ def counter(source, start: int) -> Callable:
     return run
 
 
-def model(counts: DataFrame, vocabulary: int, keep: float) -> DataFrame:
-    """(key, target_loss, background_loss) of every bigram in ``counts``."""
-    rows = counts.select("key", F.shiftright("key", BITS).alias("h"), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("w"), "target", "everything")
-    # at most one row per id of the vocabulary
-    before = F.broadcast(rows.groupBy("h").agg(F.sum("target").alias("h_target"), F.sum("everything").alias("h_everything")))
-    words = rows.groupBy("w").agg(F.sum("target").alias("w_target"), F.sum("everything").alias("w_everything"))
-    sums = words.agg(F.sum("w_target").alias("n_target"), F.sum("w_everything").alias("n_everything")).first()
-    rows = rows.join(before, "h").join(F.broadcast(words), "w")
-
-    def loss(kind: str, n: int) -> Column:
-        single = (F.col(f"w_{kind}") + 1) / F.lit(float(n + vocabulary))
-        p = F.lit(keep) * F.col(kind) / F.col(f"h_{kind}") + F.lit(1 - keep) * single
-        return -F.ln(F.when(F.col(f"h_{kind}") > 0, p).otherwise(single))
-
-    return rows.select("key", loss("target", sums[0] or 0).alias("target_loss"), loss("everything", sums[1] or 0).alias("background_loss"))
-
-
-def looker(source, table, start: int) -> Callable:
-    """(doc_id, text) to (doc_id, tokens, target_sum, background_sum) by look-up."""
+def asker(start: int, small: bool) -> Callable:
+    """(chunk, ids), chunk after chunk, to (chunk, key): a chunk's different bigrams."""
+    kind, begin = "<u2" if small else "<u4", np.array([start], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = byte_bpe(source.value)
-        known, losses = table.value
+        def out() -> pa.RecordBatch:
+            keys = np.unique(bigrams(parts, start))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), current), pa.int64()), pa.array(keys, pa.int64())], names=["chunk", "key"])
+
+        parts: list[np.ndarray] = []
+        current = None
         for batch in batches:
-            n, sums = [], []
-            for text in batch.column(1):
-                ids = encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int64)
-                n.append(len(ids))
-                if not len(ids):
-                    sums.append((0.0, 0.0))
-                    continue
-                keys, times = np.unique(bigrams(ids, start), return_counts=True)
-                sums.append(tuple(times @ losses[np.searchsorted(known, keys)]))
-            pairs = np.array(sums).reshape(-1, 2)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "target_sum", "background_sum"])
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != current and parts:
+                    yield out()
+                    parts = []
+                current = chunk
+                parts += [begin, np.frombuffer(raw.as_py(), kind)]
+        if parts:
+            yield out()
 
     return run
 
 
-def lister(source, start: int) -> Callable:
-    """(doc_id, text) to a row (doc_id, row, tokens, key, times) for each different bigram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = byte_bpe(source.value)
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int64)
-                keys, times = np.unique(bigrams(ids, start), return_counts=True) if len(ids) else (np.array([-1]), np.array([0]))
-                row += 1
-                columns = [[doc] * len(keys), np.full(len(keys), row), np.full(len(keys), len(ids)), keys, times]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row", "tokens", "key", "times"])
+def marker(documents: pa.Table, marks: pa.Table) -> pa.Table:
+    """A chunk's documents with ``wanted``: whether their id is among the marks."""
+    wanted = pc.is_in(documents.column("doc_id"), pa.array(marks.column("doc_id").to_pylist(), pa.int64()), skip_nulls=True)
+    columns = [documents.column("chunk"), documents.column("doc_id"), documents.column("tokens"), wanted, documents.column("ids")]
+    return pa.table(columns, names=["chunk", "doc_id", "tokens", "wanted", "ids"])
+
+
+class Counts:
+    """Counts by id: as word and as predecessor, in the target and in everything."""
+
+    def __init__(self, rows: list, size: int, vocabulary: int):
+        self.words, self.before = np.zeros((2, size)), np.zeros((2, size))
+        self.vocabulary = vocabulary
+        for side, at, target, everything in rows:
+            (self.words if side == "w" else self.before)[:, at] = target, everything
+        self.total = self.words.sum(axis=1)
+
+
+def scorer(counts, start: int, small: bool, keep: float) -> Callable:
+    """A chunk's documents (chunk, doc_id, tokens, wanted, ids) and answers (chunk, key, target, everything) to losses."""
+    kind = "<u2" if small else "<u4"
+
+    def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        known = counts.value
+        keys = answers.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        table = [answers.column(c).to_numpy()[order] for c in ("target", "everything")]
+        sums: list[tuple[float, float]] = []
+        for wanted, raw in zip(documents.column("wanted").to_pylist(), documents.column("ids"), strict=True):
+            ids = np.frombuffer(raw.as_py(), kind)
+            if not len(ids):
+                sums.append((0.0, 0.0))
+                continue
+            own, times = np.unique(bigrams([np.array([start]), ids], start), return_counts=True)
+            h, w = own >> BITS, own & ((1 << BITS) - 1)
+            at = np.searchsorted(keys, own)
+            own_h, own_w = (np.bincount(np.unique(x, return_inverse=True)[1], times)[np.unique(x, return_inverse=True)[1]] for x in (h, w))
+            both = []
+            for side in (0, 1):
+                off = 1 if side or wanted else 0
+                pair, before = table[side][at] - off * times, known.before[side][h] - off * own_h
+                single = (known.words[side][w] - off * own_w + 1) / (known.total[side] - off * len(ids) + known.vocabulary)
+                some = before > 0
+                p = np.where(some, keep * pair / np.where(some, before, 1) + (1 - keep) * single, single)
+                both.append(float(times @ -np.log(p)))
+            sums.append((both[0], both[1]))
+        pairs = np.array(sums).reshape(-1, 2)
+        return pa.table({"doc_id": documents.column("doc_id"), "tokens": documents.column("tokens"), "target_sum": pairs[:, 0], "background_sum": pairs[:, 1]})
 
     return run
 
 
-def cross_entropy_difference(
-    documents: DataFrame, targets: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.8, broadcast_rows: int = 4_000_000
-) -> DataFrame:
+def cross_entropy_difference(documents: DataFrame, targets: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.8) -> DataFrame:
     """(doc_id, tokens, target_loss, background_loss, difference), losses in nats per token.
 
     ``targets`` holds the ids of the target documents in its first column."""
     spark = documents.sparkSession
     shelf = Shelf(spark, "lm-difference")
     source = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    largest = byte_bpe(source.value)[0].max_token_value
     vocabulary = len(byte_bpe(source.value)[0].token_byte_values()) + 1
-    start = (1 << BITS) - 1
+    start, small = largest + 1, largest < 1 << 16
+    if start >= 1 << BITS:
+        raise ValueError(f"ids must be below {(1 << BITS) - 1}")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = targets.select(F.col(targets.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    marked = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("wanted", "text")
-    counts = marked.mapInArrow(counter(source, start), "key long, target long, everything long")
-    counts = shelf.saved(counts.groupBy("key").agg(F.sum("target").alias("target"), F.sum("everything").alias("everything")))
-    table = shelf.saved(model(counts, vocabulary, keep))
-    shelf.drop(counts)
-    if table.count() <= broadcast_rows:
-        found = table.toArrow()
-        keys = found.column("key").to_numpy()
-        order = np.argsort(keys)
-        losses = np.stack([found.column(c).to_numpy()[order] for c in ("target_loss", "background_loss")], axis=1)
-        lookup = spark.sparkContext.broadcast((keys[order], losses))
-        scored = rows.mapInArrow(looker(source, lookup, start), "doc_id long, tokens long, target_sum double, background_sum double")
-    else:
-        listed = rows.mapInArrow(lister(source, start), "doc_id long, row long, tokens long, key long, times long").join(table, "key", "left")
-        sums = [F.coalesce(F.sum(F.col("times") * F.col(f"{kind}_loss")), F.lit(0.0)).alias(f"{kind}_sum") for kind in ("target", "background")]
-        scored = listed.groupBy("doc_id", "row", "tokens").agg(*sums)
+    tokens = shelf.saved(rows.mapInArrow(encoded(source, small), "chunk long, doc_id long, tokens long, ids binary"))
+    wanted = targets.select(F.col(targets.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # which rows are targets is found by ids alone; the marks then go to the rows' chunks
+    marks = shelf.saved(tokens.select("chunk", "doc_id").distinct().join(wanted, "doc_id", "left_semi"))
+    marked = shelf.saved(tokens.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(marker, "chunk long, doc_id long, tokens long, wanted boolean, ids binary"))
+    shelf.drop(tokens)
+
+    def counted(some: DataFrame, name: str) -> DataFrame:
+        return some.select("ids").mapInArrow(counter(start, small), "key long, n long").groupBy("key").agg(F.sum("n").alias(name))
+
+    everything = counted(marked, "everything")
+    target = counted(marked.where("wanted"), "target")
+    table = shelf.saved(everything.join(target, "key", "left").select("key", F.coalesce("target", F.lit(0)).alias("target"), "everything"))
+    sides = []
+    for side, at in (("h", F.shiftright("key", BITS)), ("w", F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)))):
+        sides.append(table.groupBy(at.alias("at")).agg(F.sum("target").alias("target"), F.sum("everything").alias("everything")).select(F.lit(side).alias("side"), "at", "target", "everything"))
+    found = [tuple(r) for r in sides[0].union(sides[1]).collect()]  # at most one row for each id of the vocabulary and side
+    counts = spark.sparkContext.broadcast(Counts(found, start + 1, vocabulary))
+    asked = marked.select("chunk", "ids").mapInArrow(asker(start, small), "chunk long, key long")
+    answers = asked.join(table, "key").select("chunk", "key", "target", "everything")
+    scored = marked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scorer(counts, start, small, keep), "doc_id long, tokens long, target_sum double, background_sum double")
     n = F.greatest(F.col("tokens"), F.lit(1))
     losses = [(F.col(f"{kind}_sum") / n).alias(f"{kind}_loss") for kind in ("target", "background")]
     return scored.select("doc_id", "tokens", *losses, ((F.col("target_sum") - F.col("background_sum")) / n).alias("difference"))

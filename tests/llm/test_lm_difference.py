@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -7,52 +8,73 @@ from quillspark.llm.lm_difference import cross_entropy_difference
 from quillspark.llm.packing import byte_bpe
 from quillspark.llm.queries import BYTE_BPE
 
-from .fixtures import SCHEMA, documents
+from .fixtures import SCHEMA, documents, prose
 
 START = -1
 
 
+def counts(ids):
+    pairs, before, words = Counter(), Counter(), Counter()
+    for h, w in zip([START, *ids[:-1]], ids):
+        pairs[h, w] += 1
+        before[h] += 1
+        words[w] += 1
+    return pairs, before, words
+
+
 def brute(rows, targets, keep=0.8):
+    """Every document by the counts of the others."""
     encoder, _ = byte_bpe(open(BYTE_BPE, "rb").read())
-    ids = [(d, encoder.encode_ordinary(t or "")) for d, t in rows]
+    ids = [(d, encoder.encode(t or "", allowed_special="all")) for d, t in rows]
     v = len(encoder.token_byte_values()) + 1
-    tables = []
-    for some in ([x for d, x in ids if d in targets], [x for _, x in ids]):
-        pairs, before, words = Counter(), Counter(), Counter()
-        for x in some:
-            for h, w in zip([START, *x[:-1]], x):
-                pairs[h, w] += 1
-                before[h] += 1
-                words[w] += 1
-        tables.append((pairs, before, words, sum(words.values())))
+    own = [counts(x) for _, x in ids]
+    sums = []
+    for some in ([c for c, (d, _) in zip(own, ids) if d in targets], own):
+        sums.append([sum((c[k] for c in some), Counter()) for k in range(3)])
     out = []
-    for d, x in ids:
+    for (d, x), mine in zip(ids, own):
         losses = []
-        for pairs, before, words, n in tables:
+        for side, (pairs, before, words) in enumerate(sums):
+            off = 1 if side or d in targets else 0
+            n = sum(words.values()) - off * len(x)
             total = 0.0
             for h, w in zip([START, *x[:-1]], x):
-                single = (words[w] + 1) / (n + v)
-                total -= math.log(keep * pairs[h, w] / before[h] + (1 - keep) * single if before[h] else single)
+                single = (words[w] - off * mine[2][w] + 1) / (n + v)
+                above = before[h] - off * mine[1][h]
+                total -= math.log(keep * (pairs[h, w] - off * mine[0][h, w]) / above + (1 - keep) * single if above else single)
             losses.append(total / max(1, len(x)))
         out.append((d, len(x), *losses, losses[0] - losses[1]))
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**9, 0])
-def test_equals_counting_by_hand(spark, broadcast_rows):
-    rows = documents(21) + [(None, "an id is missing here", "en", "s", 1), (0, "repeated", "en", "s", 1), (0, "repeated", "en", "s", 1)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "tokens")
+@pytest.mark.parametrize("chunk", [2_000_000, 500])
+def test_equals_counting_by_hand(spark, chunk, monkeypatch):
+    monkeypatch.setattr("quillspark.llm.lm_difference.CHUNK", chunk)
+    rows = documents(21) + [(None, "an id is missing here", "en", "s", 1), (None, "an id is missing here", "en", "s", 1), (0, "repeated", "en", "s", 1), (0, "repeated", "en", "s", 1), (1, "a <|endoftext|> mark", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "tokens").withColumnRenamed("source", "chunk")
     targets = {r[0] for r in rows if r[0] is not None and r[0] % 3 == 0}
     marks = spark.createDataFrame([(t,) for t in targets] + [(None,), (0,)], "doc_id long")
-    found = sorted((tuple(r) for r in cross_entropy_difference(df, marks, BYTE_BPE, broadcast_rows=broadcast_rows).collect()), key=str)
-    wanted = sorted(brute([(r[0], r[1]) for r in rows], targets), key=str)
+    found = [tuple(r) for r in cross_entropy_difference(df, marks, BYTE_BPE).collect()]
+    wanted = brute([(r[0], r[1]) for r in rows], targets)
     key = lambda r: (str(r[0]), r[1], round(r[2], 6))
     for a, b in zip(sorted(found, key=key), sorted(wanted, key=key), strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
+def test_own_counts_do_not_help(spark):
+    """A rare text is unlikely however it was counted itself, and likely once another document repeats it."""
+    rng = random.Random(4)
+    texts = [prose(rng, 80) for _ in range(30)]
+    df = spark.createDataFrame([*enumerate(texts), (100, texts[7])], "doc_id long, text string")
+    marks = spark.createDataFrame([(3,), (7,)], "doc_id long")
+    found = {r.doc_id: r for r in cross_entropy_difference(df, marks, BYTE_BPE).collect()}
+    others = [found[i].background_loss for i in range(30) if i != 7]
+    assert max(found[7].background_loss, found[100].background_loss) < min(others) - 1
+    assert found[100].difference < -0.1 and found[3].target_loss > found[3].background_loss
+
+
 def test_no_targets_and_empty_table(spark):
-    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "some text"), (2, None), (3, "some text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
     found = {r.doc_id: r for r in cross_entropy_difference(df, none, BYTE_BPE).collect()}
     assert found[1].target_loss > found[1].background_loss and found[2].difference == 0.0 and found[2].tokens == 0
