@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from quillspark.llm.order_minhash import PLACE, PLACE_BITS, edited_neighbours, order_minhash
+from quillspark.llm.order_minhash import PLACE, PLACE_BITS, bin_orders, edited_neighbours, order_minhash, with_next
 
 from .fixtures import SCHEMA, documents, prose, touched
 
@@ -40,11 +40,10 @@ def brute(text, k=5, length=2, tuples=32):
         seen[top] += 1
     pairs.sort()
     out = []
-    for f in range(tuples):
-        point = -(2**63) + f * (2**64 // tuples)
-        below = sum(p < point for p in pairs)
-        chosen = [pairs[(below + j) % len(pairs)] for j in range(min(length, len(pairs)))]
-        chosen.sort(key=lambda p: signed((p & PLACE) << 40))
+    for order in bin_orders(tuples):
+        edges = [-(2**63) + f * (2**64 // tuples) for f in range(tuples)] + [2**63]
+        ranked = [p for b in order for p in pairs if edges[b] <= p < edges[b + 1]]
+        chosen = sorted(ranked[:length], key=lambda p: signed((p & PLACE) << (64 - PLACE_BITS)))
         out.append(hashed(*[signed((p >> PLACE_BITS) << PLACE_BITS) for p in chosen]) & 0x7FFFFFFF)
     return out
 
@@ -72,7 +71,7 @@ def test_edited_texts_and_next_documents(spark, rows_per_block, monkeypatch):
     rows = documents(32, groups=4)
     rows += [(rows[0][0], "the same id again", "en", "s", 1), (rows[3][0], rows[3][1], "en", "s", 1), (None, "no id", "en", "s", 1), (None, prose(rng, 50), "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("source", "near_next").repartition(5)
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1]), x[1].encode()))
     wanted = []
     for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
         quarter = len(t) // 4
@@ -84,6 +83,25 @@ def test_edited_texts_and_next_documents(spark, rows_per_block, monkeypatch):
     assert sorted(found, key=str) == sorted(wanted, key=str)
 
 
+def test_short_texts_have_different_tuples():
+    """Orders go on independently where bins are empty; neighbours on one circle would give eight different tuples."""
+    assert len(set(brute(" ".join(f"word{i}" for i in range(12))))) > 14
+    assert sorted(map(sorted, bin_orders(32))) == [list(range(32))] * 32 and [o[0] for o in bin_orders(32)] == list(range(32))
+
+
+def test_an_id_that_fills_blocks_is_cut(spark):
+    rng = random.Random(6)
+    rows = [(7, prose(rng, 12)) for _ in range(400)] + [(i, prose(rng, 12)) for i in range(100)] + [(None, prose(rng, 12)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = with_next(df, 20).groupBy("place").count().collect()
+    assert max(r["count"] for r in dealt) < 60 and sum(r["count"] for r in dealt) == len(rows) + len(dealt)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1])))
+    after = {t: n for (_, t), (_, n) in zip(order, order[1:] + order[:1])}
+    found = edited_neighbours(df).collect()
+    wanted = Counter((d, hashlib.sha256((t[: len(t) - len(t) // 4] + after[t][: len(t) // 4]).encode()).hexdigest()) for d, t in rows)
+    assert Counter((r.doc_id, r.edited_sha256) for r in found) == wanted
+
+
 def test_sensitive_to_edits(spark):
     rng = random.Random(3)
     base = prose(rng, 400)
