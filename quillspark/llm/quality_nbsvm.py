@@ -1,20 +1,22 @@
 """Document quality by naive Bayes support vectors.
 
 Features are indicators of n-grams, hashed into ``2 ** BITS`` slots: words and word pairs
-(A-Z lower-cased), byte trigrams of the text as written, and runs of repeated words.
+(A-Z lower-cased) and byte trigrams of the text as written; with ``repeats`` also, whatever the word, how long its longest run
+of one word is and what share of it such runs cover, an indicator for each power of two, as these are n-grams that pairs of certain words can't stand for.
 Each is scaled by its log-count ratio r = log((a + n1) / (a + N1)) - log((a + n0) / (a + N0))
 between the classes, rows are brought to length 1, and a linear hinge-loss model is fitted to
 them by dual coordinate descent.  A logistic curve over margins from cross-validation, so of rows that
 the fit behind them has not seen, turns a margin into a probability.
 
-Bound of the fit: at most ``max_rows`` labelled rows, those of smallest ``xxhash64(id)``.  Their slots (some thousand 4-byte
-numbers a row) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats.  Scoring covers every row
+Bound of the fit: at most ``max_rows`` labelled documents, those of smallest ``xxhash64(id)``, with one text each.  Their slots (some thousand 4-byte
+numbers a text) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats.  Scoring covers every row
 and whole texts.
 
 Defined cases
     Null and empty texts have no n-gram; their score is the curve at the model's offset.  Label rows
     with a null id or label are ignored; of an id's several labels the smallest counts.  Without rows of
-    both classes every score is the smoothed share of label 1 (0.5 with no labels).  Repeated documents get a row each.  An empty table gives an
+    both classes every score is the smoothed share of label 1 (0.5 with no labels).  Repeated documents get a row each;
+    of the texts of an id that of smallest ``xxhash64``, then the smallest, teaches, however the table is stored.  An empty table gives an
     empty result.  Further columns are ignored.
 """
 
@@ -36,15 +38,14 @@ FOLDS = 5
 PAIR, BYTES, RUNS = np.uint64(0x51_7CC1B7), np.uint64(0x2F_0B4C47), np.uint64(0x6C_8E9CF5)
 
 
-def slots(text: str | None, words: WordHashes) -> np.ndarray:
+def slots(text: str | None, words: WordHashes, repeats: bool = True) -> np.ndarray:
     """The sorted slots of a text's n-grams, each once."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     single = words.of(text)
     parts = [single]
     if len(single) > 1:
         parts.append(mix(single[:-1] + mix(single[1:] + PAIR)))
-        # n-grams of one word alone: how long its longest run is and which share of the words they cover, a slot for each power of two
-        edge = np.flatnonzero(np.diff(np.r_[False, single[1:] == single[:-1], False]))
+        edge = np.flatnonzero(np.diff(np.r_[False, single[1:] == single[:-1], False])) if repeats else ()
         if len(edge):
             again = edge[1::2] - edge[::2]
             steps = [np.arange(int(np.log2(again.max())) + 1), 32 + np.arange(int(np.log2(max(1, 256 * again.sum() // len(single)))) + 1)]
@@ -112,6 +113,7 @@ class QualityModel:
     offset: float
     slope: float
     shift: float
+    repeats: bool = True
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(rows))
@@ -133,24 +135,24 @@ class QualityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, model = WordHashes(), shared.value
             for batch in batches:
-                found = [slots(t.as_py(), words) for t in batch.column(len(kept))]
+                found = [slots(t.as_py(), words, model.repeats) for t in batch.column(len(kept))]
                 score = pa.array(model.probability(model.margins(found)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*kept, score_col])
 
         return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(score_col, DoubleType())]))
 
 
-def featured() -> Callable:
+def featured(repeats: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            found = [slots(t.as_py(), words).tobytes() for t in batch.column(2)]
+            found = [slots(t.as_py(), words, repeats).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "slots"])
 
     return run
 
 
-def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 40) -> QualityModel:
+def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, cost: float = 4.0, epochs: int = 40, tolerance: float = 1e-2) -> QualityModel:
     """The model of labelled slot rows (y is 1 or 0), with a curve from cross-validation."""
     size = 1 << BITS
     flat = QualityModel(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
@@ -174,7 +176,7 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, co
             values.append((v / length if length else v).astype(np.float32))
         share = label.mean()
         weights = cost * np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
-        w, b = dual_coordinate_descent([rank[r] for r in some], values, np.where(label == 1, 1.0, -1.0), weights, size, epochs, 1e-2 * cost)
+        w, b = dual_coordinate_descent([rank[r] for r in some], values, np.where(label == 1, 1.0, -1.0), weights, size, epochs, tolerance * cost)
         return ratio, w[rank], b
 
     def model_of(which: np.ndarray) -> QualityModel:
@@ -202,7 +204,7 @@ def fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids.extend(batch.column(0).to_pylist())
         label.extend(batch.column(1).to_pylist())
         rows.extend(np.frombuffer(r, np.uint32) for r in batch.column(2).to_pylist())
-    order = np.unique(np.array(ids, np.int64), return_index=True)[1]  # repeated documents teach once
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
     order = order[np.random.default_rng(1).permutation(len(order))]
     model = fit_arrays([rows[i] for i in order], np.array(label, np.int64)[order])
     values = [[model.ratio.tobytes()], [model.weight.tobytes()], [model.offset], [model.slope], [model.shift]]
@@ -210,18 +212,20 @@ def fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["ratio", "weight", "offset", "slope", "shift"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6_000) -> QualityModel:
+def fit(documents: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6_000, repeats: bool = True) -> QualityModel:
     """Learn from the labelled rows that ``training``, a condition on the id, admits."""
     known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # at most max_rows ids: small enough for every executor, and their features for one task
-    rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("id"), "y", "text").mapInArrow(featured(), "id long, y int, slots binary")
+    # at most max_rows ids: small enough for every executor
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # a text for each, so at most max_rows for the task that fits
+    one = texts.groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select(F.xxhash64("id").alias("id"), "y", "text").mapInArrow(featured(repeats), "id long, y int, slots binary")
     found = rows.repartition(1).mapInArrow(fitter, "ratio binary, weight binary, offset double, slope double, shift double").collect()
     if not found:
         return fit_arrays([], np.empty(0, np.int64))
-    return QualityModel(np.frombuffer(found[0][0], np.float32), np.frombuffer(found[0][1], np.float32), *found[0][2:])
+    return QualityModel(np.frombuffer(found[0][0], np.float32), np.frombuffer(found[0][1], np.float32), *found[0][2:], repeats=repeats)
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:

@@ -50,6 +50,74 @@ def test_scores_ignore_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_ids_with_many_texts_stay_within_the_bound(spark, monkeypatch):
+    rows = corpus(60, 2)
+    again = [(rows[0][0], f"another text {i} of this id") for i in range(3000)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + again + [(rows[1][0], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    seen, fitter = [], q.fitter
+
+    def counted(batches):
+        kept = list(batches)
+        assert sum(b.num_rows for b in kept) <= 40
+        yield from fitter(iter(kept))
+
+    monkeypatch.setattr(q, "fitter", counted)
+    for parts in (1, 7):
+        for order in ("doc_id", "text"):
+            model = q.fit(docs.repartition(parts, order).sortWithinPartitions(order), labels, F.lit(True), max_rows=40)
+            seen.append((model.ratio.tobytes(), model.weight.tobytes(), model.offset, model.slope, model.shift))
+    assert len(set(seen)) == 1
+
+
+def grams(text):
+    """The n-grams themselves, by hand."""
+    words = (text or "").encode().lower().split()
+    raw = (text or "").encode()
+    return {("w", w) for w in words} | {("p", *p) for p in zip(words, words[1:])} | {("b", raw[i : i + 3]) for i in range(len(raw) - 2)}
+
+
+def test_ratios_and_scores_by_hand():
+    rows = corpus(80, 3)
+    sets = [grams(t) for _, t, _ in rows]
+    y = np.array([v for _, _, v in rows])
+    slots = [q.slots(t, WordHashes(), repeats=False) for _, t, _ in rows]
+    assert [len(s) for s in slots] == [len(s) for s in sets] or max(abs(len(a) - len(b)) for a, b in zip(slots, sets)) <= 3  # collisions
+    model = q.fit_arrays(slots, y, epochs=5000, tolerance=1e-6)
+    n = [(y == c).sum() + 2 for c in (0, 1)]
+    # by slot: count of documents of each class that hold it
+    for s in sorted({int(x) for part in slots for x in part})[::37]:
+        held = [sum(1 for part, c in zip(slots, y) if c == k and s in part) + 1 for k in (0, 1)]
+        assert model.ratio[s] == np.float32(np.log(held[1] / n[1]) - np.log(held[0] / n[0]))
+    # words by the slots they are hashed to
+    for word in ("the", "of", "and"):
+        at = int(WordHashes().of(word)[0] >> np.uint64(64 - q.BITS))
+        held = [sum(1 for part, c in zip(sets, y) if c == k and ("w", word.encode()) in part) for k in (0, 1)]
+        assert sum(at in part for part in slots) >= sum(held)
+    w = np.divide(model.weight, model.ratio, out=np.zeros_like(model.weight), where=model.ratio != 0).astype(float)
+    for part, margin in zip(slots, model.margins(slots), strict=True):
+        r = model.ratio[part].astype(float)
+        x = r / np.linalg.norm(r)
+        assert abs(margin - model.offset - w[part] @ x) < 1e-4
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+        assert abs(score - model.probability(np.array([margin]))[0]) < 1e-12
+    # the weights are those of the hinge-loss optimum over the scaled rows
+    x = np.zeros((len(rows), 1 << q.BITS), np.float32)
+    for i, part in enumerate(slots):
+        r = model.ratio[part]
+        x[i, part] = r / np.linalg.norm(r)
+    share = y.mean()
+    cost = 4.0 * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    sign = np.where(y == 1, 1.0, -1.0)
+    loss = lambda u, b: u @ u / 2 + b * b / 2 + (cost * np.maximum(0, 1 - sign * (x @ u + b))).sum()
+    best = loss(w.astype(np.float32), model.offset)
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        move = (x.T @ rng.normal(size=len(rows))).astype(np.float32)
+        for size in (1e-2, -1e-2):
+            assert loss(w.astype(np.float32) + size * move, model.offset + size * rng.normal()) >= best * (1 - 1e-4)
+
+
 def test_one_class_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -77,3 +145,5 @@ def test_slots_are_distinct_and_bounded():
     s = q.slots("Of Of Of Of the end", WordHashes())
     assert (np.diff(s.astype(int)) > 0).all() and s.max() < 1 << q.BITS
     assert len(q.slots(None, WordHashes())) == 0
+    plain, more = (q.slots("of of of of the end", WordHashes(), r) for r in (False, True))
+    assert set(plain) < set(more) and len(q.slots("of the end", WordHashes(), True)) == len(q.slots("of the end", WordHashes(), False))
