@@ -50,6 +50,11 @@ def byte_bpe(source: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     which ids end a sentence.  Such a file merges in the order of its ids, which is checked, so that
     tiktoken gives the same ids several times faster.  The file's added tokens are the encoder's special tokens."""
     file = json.loads(source)
+    splitter = {**(file.get("pre_tokenizer") or {}), "trim_offsets": None}
+    if splitter != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} or file.get("normalizer"):
+        raise ValueError("this file splits or changes texts in another way than byte-level BPE with the usual pattern")
+    if file["model"].get("type", "BPE") != "BPE" or any(file["model"].get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("this file's model is not plain byte-level BPE")
     model, added = file["model"], {t["content"]: t["id"] for t in file.get("added_tokens") or []}
     if any(t.get(flag) for t in file.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip")):
         raise ValueError("this file's added tokens depend on the text around them")

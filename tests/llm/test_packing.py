@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm.packing import byte_bpe, cheapest_cuts, pack, powers
+from quillspark.llm.packing import Stream, byte_bpe, cheapest_cuts, pack, powers
 from quillspark.llm.queries import BYTE_BPE
 
 from .fixtures import SCHEMA, documents, prose
@@ -40,11 +40,10 @@ def test_cuts_are_the_cheapest():
 @pytest.mark.parametrize("length,stretch", [(2048, 256), (64, 8)])
 def test_pieces_hold_every_id_once(spark, length, stretch):
     rng = random.Random(2)
-    rows = documents(3) + [(10_000 + i, prose(rng, 400), "en", "src0", 1) for i in range(20)] + [(None, "no id here", "en", "src1", 1), (5, "again", "en", "s", 1), (5, "again", "en", "s", 1)]
+    rows = documents(3) + [(10_000 + i, prose(rng, 400), "en", "src0", 1) for i in range(20)] + [(None, "no id here", "en", "src1", 1), (20_000, "the mark <|endoftext|> in a text<|endoftext|>", "en", "s", 1), (5, "again", "en", "s", 1), (5, "again", "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "length").repartition(3, "doc_id")
     found = pack(df, BYTE_BPE, length=length, stretch=stretch).toPandas()
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     ids = {}
     for d, t, *_ in rows:
         ids.setdefault(d, []).append(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))
@@ -77,6 +76,50 @@ def test_added_tokens_have_their_ids(spark):
     assert 50256 in tokenizer.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_stretches_cost_hardly_more_than_the_whole():
+    """One dynamic program over a whole partition, by trying every transition, against stretches with carried windows."""
+    rng = np.random.default_rng(3)
+    ends = np.zeros(1000, bool)
+    ends[:40] = True
+    docs = [rng.integers(0, 1000, rng.integers(1, 700)).astype(np.uint32) for _ in range(150)]
+    length, sentence, inside, grid = 128, 4, 16, 8
+
+    def cuts_of(stretch):
+        stream = Stream(ends, 1, length, sentence, inside, grid, stretch, 0)
+        pieces = [p for i, d in enumerate(docs) for p in stream.add(i, d)] + list(stream.pieces(final=True))
+        sizes = np.zeros(pieces[-1][5] + 1, int)
+        for p in pieces:
+            sizes[p[5]] += p[2]
+        return np.r_[0, np.cumsum(sizes)]
+
+    whole = Stream(ends, 1, length, sentence, inside, grid, 10**9, 0)
+    stream = np.concatenate([np.append(d, 1) for d in docs]).astype(np.uint32)
+    starts = np.r_[0, np.cumsum([len(d) + 1 for d in docs])][:-1]
+    places, penalty = (x.tolist() for x in whole.places(starts, stream))
+    at = {p: k for k, p in enumerate(places)}
+    best, first = [0] * len(places), 0
+    for i in range(1, len(places)):
+        while places[i] - places[first] > length:
+            first += 1
+        best[i] = penalty[i] + min(best[j] + length - (places[i] - places[j]) for j in range(first, i))
+
+    def cost(cuts):
+        # what ends in powers of two, without padding, is left out on both sides
+        inner = [c for c in cuts.tolist() if c in at and c <= places[-1] - length]
+        return sum(length - (b - a) + penalty[at[b]] for a, b in zip(inner, inner[1:])), inner[-1]
+
+    for stretch, more in ((10**9, 1.0), (64, 1.02), (12, 1.1)):
+        found, upto = cost(cuts_of(stretch))
+        assert best[at[upto]] <= found <= more * best[at[upto]] + length
+
+
+def test_files_of_other_tokenizers_are_refused():
+    file = json.loads(open(BYTE_BPE, "rb").read())
+    for more in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**file["model"], "ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            byte_bpe(json.dumps({**file, **more}).encode())
+
+
 def test_files_with_other_added_tokens_are_refused():
     file = json.loads(open(BYTE_BPE, "rb").read())
     token = file["added_tokens"][0]
