@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ladder import numbers, quantiles, rung
+
 LETTER = 16
 LETTERS = r"[^\x20\x09-\x0D]{1,%d}" % LETTER
 PLACE_BITS = 30
@@ -99,11 +101,6 @@ def as_hex(fingerprint_: Column) -> Column:
     return F.array_join(F.transform(fingerprint_, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def numbers(values: list[int]) -> Column:
-    """A constant array, short in the plan's text however many values it has."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
-
-
 def with_next(documents: DataFrame, rows_per_block: int = 500, most_blocks: int = 65_536) -> DataFrame:
     """``documents`` (doc_id, text) dealt over blocks of neighbouring ids: (place, ghost, doc_id, text, mark).
 
@@ -114,19 +111,13 @@ def with_next(documents: DataFrame, rows_per_block: int = 500, most_blocks: int
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     n, nulls = slim.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     blocks = min(max(1, -(-n // rows_per_block)), most_blocks)
-    found: list[int] = []
-    if blocks > 1:
-        shares = [k / blocks for k in range(1, blocks)]
-        found = slim.agg(F.percentile_approx("doc_id", F.split(F.lit(",".join(map(repr, shares))), ",").cast("array<double>"), 20 * blocks)).first()[0] or []
+    found = quantiles(slim, "doc_id", blocks, 20 * blocks)
     times = Counter(found)
     # an id that several quantiles fall on fills a block of its own
     edges = sorted({*found, *(x + 1 for x, t in times.items() if t > 1)})
     bits = [0, *((times[x] - 1).bit_length() + 1 if times[x] > 1 else 0 for x in edges)]
     null_bits = min(16, (nulls // rows_per_block).bit_length())
-    block = F.lit(0)
-    if edges:
-        ladder, steps = numbers(edges), F.array(*[F.lit(1 << p) for p in range(len(edges).bit_length() - 1, -1, -1)])
-        block = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ladder, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    block = rung(F.col("doc_id"), edges)
     mark, part = F.xxhash64("text"), F.lit(0)
     if any(bits) or null_bits:
         cut = F.when(F.col("doc_id").isNull(), F.lit(null_bits)).otherwise(F.get(numbers(bits), F.col("block"))).cast("int")

@@ -5,9 +5,10 @@ response of its url (of several at one time, that of the largest record id), its
 the header fields that a not-modified answer may update are merged over the response's.
 
 The as-of join is a carried-forward value over time, in two levels so that a url with a third of all
-captures isn't one task's work: time is cut into ``slices`` equal parts; within a (url, part) a window carries the
-response along, and between parts only each part's last response is carried, one row per (url, part).
-No payload takes part in either; ``attach_payload`` joins it by record id afterwards.
+captures isn't one task's work.  Captures of one url and time are one moment, so that many at one time are one row.  Time is cut into ``slices`` at the quantiles of
+all captures, whatever times they have; within a (url, slice) a window over moments carries the
+response along, and between slices only each slice's last response is carried, one row per (url, slice).  Revisits then join their moment.
+No payload takes part in any of this; ``attach_payload`` joins it by record id afterwards.
 
 Validators: with an entity tag on both sides the tags decide (weak comparison), else with Last-Modified on both sides these, else
 with a payload digest on both sides these; with nothing to compare the revisit counts as unchecked and resolves.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ladder import quantiles, rung
 from .storage import Shelf
 
 # The fields that the HTTP standard lets a 304 answer carry for the stored response.
@@ -58,19 +60,18 @@ def merged(stored: Column, update: Column, permitted: list[str]) -> Column:
 
 
 def as_of(records: DataFrame, payload: Column, is_source: Column, keys: list[str], time: str, order: list[str], slices: int) -> DataFrame:
-    """Adds ``earlier``: ``payload`` of the latest source row with the same keys and a strictly smaller time."""
-    low, high = records.agg(F.min(time), F.max(time)).first()
-    low, width = (low, max(1, -(-(high - low + 1) // slices))) if low is not None else (0, 1)
-    rows = records.withColumn("__slice", F.expr(f"cast(`{time}` - {low} as bigint) div {width}")).withColumn("__here", F.when(is_source, payload))
-    # at one time, rows that ask come before rows that answer
-    within = Window.partitionBy(*keys, "__slice").orderBy(time, is_source.cast("int"), *order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__near", F.last("__here", ignorenulls=True).over(within))
-    ends = rows.where(is_source).groupBy(*keys, "__slice").agg(F.max_by("__here", F.struct(time, *order)).alias("__end"))
-    marks = rows.select(*keys, "__slice").distinct().join(ends, [*keys, "__slice"], "left")
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select(*keys, "__slice", F.last("__end", ignorenulls=True).over(before).alias("__far"))
-    out = rows.join(marks, [*keys, "__slice"])
-    return out.withColumn("earlier", F.coalesce("__near", "__far")).drop("__slice", "__here", "__near", "__far")
+    """The rows that aren't sources, with ``earlier``: ``payload`` of the latest source row with the same keys and a strictly smaller time."""
+    edges = sorted(set(quantiles(records, time, slices, 10 * slices)))  # at most ``slices`` numbers
+    # of several sources at one time the last by ``order`` answers
+    moments = records.groupBy(*keys, time).agg(F.max_by(F.when(is_source, payload), F.when(is_source, F.struct(*order))).alias("__here"))
+    moments = moments.withColumn("__slice", rung(F.col(time), edges))
+    within = Window.partitionBy(*keys, "__slice").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    near = moments.withColumn("__near", F.last("__here", ignorenulls=True).over(within))
+    ends = moments.groupBy(*keys, "__slice").agg(F.max_by("__here", F.when(F.col("__here").isNotNull(), F.col(time))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows
+    marks = ends.select(*keys, "__slice", F.last("__end", ignorenulls=True).over(before).alias("__far"))
+    answers = near.join(marks, [*keys, "__slice"]).select(*keys, time, F.coalesce("__near", "__far").alias("earlier"))
+    return records.where(~is_source).join(answers, [*keys, time])
 
 
 def resolve_revisits(records: DataFrame, permitted: list[str] | None = None, slices: int = 1024) -> DataFrame:
@@ -83,7 +84,7 @@ def resolve_revisits(records: DataFrame, permitted: list[str] | None = None, sli
     timed = rows.where("captured is not null")
     timed = Shelf(records.sparkSession, "revisits").saved(timed)
     payload = F.struct("record_id", "captured", "headers", "digest", "length")
-    found = as_of(timed, payload, F.col("kind") == "response", ["url_key"], "captured", ["record_id"], slices).where("kind = 'revisit'")
+    found = as_of(timed, payload, F.col("kind") == "response", ["url_key"], "captured", ["record_id"], slices).select(*timed.columns, "earlier")
     untimed = rows.where("captured is null and kind = 'revisit'").withColumn("earlier", F.lit(None).cast(found.schema["earlier"].dataType))
     found = found.unionByName(untimed)
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import warc_revisit
 from quillspark.llm.warc_revisit import PERMITTED, attach_payload, canonical, header_text, resolve_revisits
 
 SCHEMA = "record_id long, url string, captured long, kind string, headers map<string,string>, digest string, length long, status string"
@@ -58,6 +59,29 @@ def test_equals_looking_through_all_records(spark, slices):
     assert text(found) == text(brute(rows))
 
 
+def test_a_url_with_a_third_of_all_rows(spark, monkeypatch):
+    """One stray time must not put all others in one slice, nor many records at one time in one window."""
+    rng = random.Random(5)
+    rows = [(i, "http://hot.example/a", rng.choice([rng.randint(0, 3000), 50]), rng.choice(["response", "revisit"]), {"date": "x"}, "d1", i, "s") for i in range(1200)]
+    rows += [(5000 + i, f"http://c{i % 20}.example/", rng.randint(0, 3000), rng.choice(["response", "revisit"]), None, "d2", i, "s") for i in range(600)]
+    rows += [(9000, "http://hot.example/a", 10**15, "revisit", None, None, 1, "s"), (9001, "http://hot.example/a", -(10**15), "response", None, None, 1, "s")]
+    seen = []
+    real = warc_revisit.rung
+
+    def rung(column, edges):
+        seen.append(edges)
+        return real(column, edges)
+
+    monkeypatch.setattr(warc_revisit, "rung", rung)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = [tuple(r) for r in resolve_revisits(df, slices=64).collect()]
+    key = lambda r: (r[0], str(r))
+    text = lambda rs: sorted(((*r[:7], tuple(sorted(r[7].items())), *r[8:]) for r in rs), key=key)
+    times = {x[2] for x in rows if x[0] < 5000 or x[0] >= 9000}
+    assert max(sum(a <= t < b for t in times) for a, b in zip([-(10**18), *seen[0]], [*seen[0], 10**18])) < len(times) / 10
+    assert text(found) == text(brute([(*r[:1], r[1], *r[2:]) for r in rows]))
+
+
 def test_empty_table_and_payload(spark):
     df = spark.createDataFrame(records(1), SCHEMA)
     assert resolve_revisits(df.limit(0)).collect() == []
