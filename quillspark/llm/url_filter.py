@@ -5,8 +5,8 @@ path starts with the rule's path; the longest fitting rule string (host + path)
 that with the longer host.  Without a fitting rule the verdict is ``default``.
 
 The rules become files of sorted 64-bit xxhash keys with the full strings behind them, at most
-``shard_bytes`` each, which Spark hands to every executor (``addFile``; a lost executor's successor fetches
-them again).  Workers memory-map the files, so a worker's own memory doesn't grow with the rules, probe whole batches
+``shard_bytes`` each, in the shared scratch folder, which Spark hands to every executor (``addFile``; a lost executor's successor fetches
+them again; equal rules are the same files).  Workers memory-map the files, so a worker's own memory doesn't grow with the rules, probe whole batches
 with a vectorised binary search, and compare the stored string of every hit, so that a collision of keys changes nothing.
 
 Which strings of a url are looked up: host suffixes of as many labels as some rule's host has, and, where a
@@ -21,10 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources.scratch import scratch_dir
+
 HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RESULT = ["host", "path", "rule", "verdict"]
@@ -56,16 +55,11 @@ class DigestFile:
     """Strings with a small number each: count, keys, offsets and numbers, then the strings."""
 
     @staticmethod
-    def write(path: str, entries: list[tuple[str, int]]) -> None:
+    def content(entries: list[tuple[str, int]]) -> bytes:
         rows = sorted((key_of(text), text.encode("utf-8", "surrogatepass"), number) for text, number in entries)
         offsets = np.r_[0, np.cumsum([len(r[1]) for r in rows])].astype("<u8")
-        with open(path, "wb") as out:
-            out.write(np.array([len(rows)], "<u8").tobytes())
-            out.write(np.array([r[0] for r in rows], "<u8").tobytes())
-            out.write(offsets.tobytes())
-            out.write(np.array([r[2] for r in rows], "<u8").tobytes())
-            for r in rows:
-                out.write(r[1])
+        head = [np.array(x, "<u8").tobytes() for x in ([len(rows)], [r[0] for r in rows], offsets, [r[2] for r in rows])]
+        return b"".join([*head, *(r[1] for r in rows)])
 
     def __init__(self, path: str):
         n = int(np.fromfile(path, "<u8", 1)[0])
@@ -93,6 +87,18 @@ class DigestFile:
         return out
 
 
+def share(spark: SparkSession, content: bytes) -> str:
+    """The name under which every executor finds a file of this content.  It lies in the shared scratch folder; equal contents are one file."""
+    name = f"url-rules-{xxhash.xxh3_128_hexdigest(content)}"
+    if not any(known.endswith("/" + name) for known in spark.sparkContext.listFiles):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+        spark.sparkContext.addFile(path.toString())
+    return name
+
+
 @dataclass
 class UrlRules:
     """What goes to the executors: names of the shared files, and which lengths occur in the rules."""
@@ -104,20 +110,16 @@ class UrlRules:
     path_lengths: list[int]
 
     @staticmethod
-    def build(spark: SparkSession, rules: Iterable[Rule], shard_bytes: int = 256 << 20) -> UrlRules:
+    def build(spark: SparkSession, rules: Iterable[Rule], shard_bytes: int = 64 << 20) -> UrlRules:
         latest = {r.host.translate(LOWER) + r.path: (r.verdict, r.host.translate(LOWER), r.path) for r in rules if r.host}
         verdicts = sorted({v for v, _, _ in latest.values()})
-        folder = os.path.realpath(tempfile.mkdtemp(prefix="url-rules-"))
-
         def shards(entries: list[tuple[str, int]]) -> list[str]:
             names, part, held = [], [], 0
             for k, entry in enumerate(entries):
                 part.append(entry)
                 held += 24 + 4 * len(entry[0])
                 if held >= shard_bytes or k == len(entries) - 1:
-                    names.append(f"url-rules-{uuid.uuid4().hex}")
-                    DigestFile.write(os.path.join(folder, names[-1]), part)
-                    spark.sparkContext.addFile(os.path.join(folder, names[-1]))
+                    names.append(share(spark, DigestFile.content(part)))
                     part, held = [], 0
             return names
 
@@ -180,7 +182,7 @@ def judge(pairs: list[tuple[str, str]], rules: UrlRules, find_host: Callable, fi
     return [c and c[2] for c in chosen], [c[3] if c else default for c in chosen]
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", shard_bytes: int = 256 << 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", shard_bytes: int = 64 << 20) -> DataFrame:
     """The columns ``keep`` (all, if None) and host, path, rule, verdict for every row."""
     index = UrlRules.build(pages.sparkSession, rules, shard_bytes)
     kept = [c for c in pages.columns if c not in RESULT and (keep is None or c in keep)]

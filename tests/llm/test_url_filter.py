@@ -55,7 +55,7 @@ def test_many_rules_and_later_verdict(spark):
 
 def test_collisions_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter, "key_of", lambda text: len(text) % 2)
-    url_filter.DigestFile.write(str(tmp_path / "f"), [(t, i) for i, t in enumerate(["aa", "bb", "c", "dd", ""])])
+    (tmp_path / "f").write_bytes(url_filter.DigestFile.content([(t, i) for i, t in enumerate(["aa", "bb", "c", "dd", ""])]))
     found = url_filter.DigestFile(str(tmp_path / "f")).find(["dd", "aa", "zz", "c", "d", "", "bb"])
     assert found.tolist() == [3, 0, -1, 2, -1, 4, 1]
 
@@ -64,3 +64,10 @@ def test_no_rules_and_empty_table(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [r.verdict for r in judge_urls(df, []).collect()] == ["allow"]
     assert judge_urls(df.limit(0), URL_RULES).collect() == []
+
+
+def test_equal_rules_are_shared_once(spark):
+    df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    judge_urls(df, URL_RULES).collect()
+    before = list(spark.sparkContext.listFiles)
+    assert judge_urls(df, URL_RULES).count() == 1 and list(spark.sparkContext.listFiles) == before
