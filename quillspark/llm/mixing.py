@@ -4,9 +4,9 @@ A token budget flows down a tree domain -> language -> source.  Each node gives
 children shares in proportion to their weights; a child that can't use its share (its
 tokens times ``max_epochs``, over all of its subtree) leaves the rest to its siblings in
 proportion to theirs, and only what all siblings together can't use goes back to the
-ancestors.  With children sorted by capacity / weight this water level has a closed form, so
-one window over the (small) table of nodes settles each level, top down, because a node's capacity
-already is the sum of its leaves'.
+ancestors.  With children sorted by capacity / weight this water level has a closed form of prefix sums, which
+settles each level, top down, because a node's capacity already is the sum of its leaves'.  The prefix sums have two levels, over slices of
+capacity / weight and within them, so that siblings may be as many as there are web hosts.
 
 A leaf with T tokens and budget A passes floor(A / T) whole epochs; of the next epoch it
 takes the prefix of A mod T tokens in that epoch's order, which is that of
@@ -20,7 +20,7 @@ Defined cases
     falls into.  Null domains, languages and sources are the node "(none)".  Nodes of weight 0 or less, and all below,
     get nothing.  A node that the weights don't name has the weight ``default``.  A budget beyond all
     capacity is used as far as it goes.  Repeated rows count each.  Null ids sort first in an epoch.  An empty table gives an empty result.
-    Further columns are ignored by ``select_tokens`` and kept by ``mix_documents``.
+    Further columns are ignored by ``select_tokens`` and kept by ``mix_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .storage import Shelf
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SLICE_DIGITS = 3
+#: Slices of capacity / weight in a doubling.
+FILL_SLICES = 32
 LEAF = ["domain", "lang", "source"]
 
 
@@ -58,37 +60,49 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def water_level(children: DataFrame, parent: list[str], name: str, budget: Column) -> DataFrame:
+def water_level(children: DataFrame, parent: list[str], name: str, budget: Column, shelf: Shelf) -> DataFrame:
     """Adds ``share``: the part of ``budget`` (the same for all rows of a parent) that each child gets.
 
     ``children`` has the columns ``weight`` and ``capacity``.  In the order of capacity / weight, child k is filled
     if it still is at level (budget - capacities before) / (weights from k on); the level of the first that isn't holds for all."""
-    by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+    keys = parent or ["root"]
+    rows = children if parent else children.withColumn("root", F.lit(0))
     usable = F.col("weight") > 0
-    upto = by.orderBy("fill", name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = children.withColumn("fill", F.when(usable, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))))
+    rows = rows.withColumn("fill", F.when(usable, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf"))))
     rows = rows.withColumn("w", F.when(usable, F.col("weight")).otherwise(0.0)).withColumn("c", F.when(usable, F.col("capacity")).otherwise(0.0))
-    rows = rows.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("behind", F.sum("w").over(by) - F.sum("w").over(upto) + F.col("w"))
-    rows = rows.withColumn("level", F.when(usable, (budget - F.col("before")) / F.col("behind")))
-    rows = rows.withColumn("level", F.max(F.when(F.col("fill") > F.col("level"), F.col("level"))).over(by))
-    share = F.when(~usable, 0.0).when(F.col("level").isNull(), F.col("c")).otherwise(F.least(F.col("c"), F.col("w") * F.col("level")))
-    return rows.withColumn("share", F.greatest(share, F.lit(0.0))).drop("fill", "w", "c", "before", "behind", "level")
-
-
-def budgets(leaves: DataFrame, weights: Weights, budget_share: float | None, budget: int | None, max_epochs: int) -> DataFrame:
+    finite = (F.col("fill") > 0) & (F.col("fill") < float("inf"))
+    slice_ = F.when(finite, F.floor(F.log2(F.when(finite, F.col("fill"))) * FILL_SLICES)).when(F.col("fill") > 0, 1 << 30).otherwise(-(1 << 30)).cast("int")
+    rows = shelf.saved(rows.withColumn("slice", slice_))  # a row for each node; read several times
+    # at most some ten thousand slices of a parent
+    sizes = rows.groupBy(*keys, "slice").agg(F.sum("c").alias("slice_c"), F.sum("w").alias("slice_w"))
+    all_, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.select(
+        *keys, "slice", (F.sum("slice_c").over(along) - F.col("slice_c")).alias("c_before"), (F.sum("slice_w").over(all_) - F.sum("slice_w").over(along) + F.col("slice_w")).alias("w_behind")
+    )
+    within = Window.partitionBy(*keys, "slice").orderBy("fill", name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(sizes, [*keys, "slice"])
+    rows = rows.withColumn("before", F.col("c_before") + F.sum("c").over(within) - F.col("c")).withColumn("behind", F.col("w_behind") - F.sum("w").over(within) + F.col("w"))
+    rows = shelf.saved(rows.withColumn("level", F.when(usable, (budget - F.col("before")) / F.col("behind"))))
+    lines = rows.groupBy(*keys).agg(F.max(F.when(F.col("fill") > F.col("level"), F.col("level"))).alias("line"))
+    rows = rows.join(lines, keys)
+    share = F.when(~usable, 0.0).when(F.col("line").isNull(), F.col("c")).otherwise(F.least(F.col("c"), F.col("w") * F.col("line")))
+    return rows.withColumn("share", F.greatest(share, F.lit(0.0))).drop("root", "fill", "w", "c", "slice", "c_before", "w_behind", "before", "behind", "level", "line")
+
+
+def budgets(leaves: DataFrame, weights: Weights, budget_share: float | None, budget: int | None, max_epochs: int, shelf: Shelf) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with ``budget``: whole tokens for each leaf."""
     rows = leaves.select(*LEAF, "tokens", *[weights.column(level).alias(f"w_{level}") for level in LEAF])
     live = (F.col("w_domain") > 0) & (F.col("w_lang") > 0) & (F.col("w_source") > 0)
     rows = rows.withColumn("room", F.when(live, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
-    everything = Window.partitionBy(F.lit(0))
-    total = F.lit(float(budget)) if budget is not None else F.floor(F.sum("tokens").over(everything) * F.lit(float(budget_share))).cast("double")
-    rows = rows.withColumn("total", total)
+    if budget is None:
+        budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * float(budget_share))  # one number
+    rows = rows.withColumn("total", F.lit(float(budget)))
     domains = rows.groupBy("domain", "w_domain", "total").agg(F.sum("room").alias("capacity")).withColumnRenamed("w_domain", "weight")
-    domains = water_level(domains, [], "domain", F.col("total")).select("domain", F.col("share").alias("domain_share"))
+    domains = water_level(domains, [], "domain", F.col("total"), shelf).select("domain", F.col("share").alias("domain_share"))
     langs = rows.groupBy("domain", "lang", "w_lang").agg(F.sum("room").alias("capacity")).withColumnRenamed("w_lang", "weight").join(domains, "domain")
-    langs = water_level(langs, ["domain"], "lang", F.col("domain_share")).select("domain", "lang", F.col("share").alias("lang_share"))
+    langs = water_level(langs, ["domain"], "lang", F.col("domain_share"), shelf).select("domain", "lang", F.col("share").alias("lang_share"))
     sources = rows.select(*LEAF, "tokens", F.col("w_source").alias("weight"), F.col("room").alias("capacity")).join(langs, ["domain", "lang"])
-    sources = water_level(sources, ["domain", "lang"], "source", F.col("lang_share"))
+    sources = water_level(sources, ["domain", "lang"], "source", F.col("lang_share"), shelf)
     return sources.select(*LEAF, "tokens", F.floor(F.round("share", 3)).cast("long").alias("budget"))
 
 
@@ -121,8 +135,8 @@ def select_tokens(
         F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(level) for level, c in named.items()], tokens_of(F.col(text_col)).alias("tokens")
     )
     slim = shelf.saved(slim)  # the texts are read once
-    leaves = slim.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"))
-    plan = budgets(leaves, weights, budget_share, budget, max_epochs).withColumnRenamed("tokens", "leaf_tokens")
+    leaves = shelf.saved(slim.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")))
+    plan = budgets(leaves, weights, budget_share, budget, max_epochs, shelf).withColumnRenamed("tokens", "leaf_tokens")
     whole = F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     plan = shelf.saved(plan.where("budget > 0").drop("budget", "leaf_tokens"))
@@ -132,7 +146,7 @@ def select_tokens(
     order = F.md5(F.concat(F.lit(f"{seed}:"), (F.col("whole") + 1).cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     part = rows.where("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("place", order).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     within = Window.partitionBy(*LEAF, "slice").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = sums_before(part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("n")), SLICE_DIGITS)
+    slices = sums_before(shelf.saved(part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("n"))), SLICE_DIGITS)
     slices = slices.withColumnRenamed("before", "slices_before")
     part = part.join(slices, [*LEAF, "slice"]).withColumn("before", F.col("slices_before") + F.sum("tokens").over(within) - F.col("tokens"))
     part = part.where("before < rest").withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("before")))
@@ -140,16 +154,22 @@ def select_tokens(
     return full.select(*columns).union(part.select(*columns))
 
 
-def mix_documents(documents: DataFrame, weights: Weights, domain: Column, **options) -> DataFrame:
+def mix_documents(documents: DataFrame, weights: Weights, domain: Column, cut: bool = False, **options) -> DataFrame:
     """The documents of the mix with all their columns, once for each epoch that takes them.
 
-    The document that a leaf's budget ends in comes whole.  Rows that share an id follow the
-    row among them that comes most often."""
-    id_col = options.get("id_col", "doc_id")
+    The document that a leaf's budget ends in comes whole, or, with ``cut``, with its text up to the last token that the budget pays for.  Rows that share an id follow the
+    row among them that comes most often; null ids are one id.  An empty table gives an empty result."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     chosen = select_tokens(documents, weights, domain, **options)
     # rows of an id within one epoch count once
-    times = chosen.select("doc_id", "epoch").distinct().groupBy("doc_id").agg(F.count("*").cast("int").alias("__times"))
-    rows = documents.join(times.withColumnRenamed("doc_id", "__id"), documents[id_col].eqNullSafe(F.col("__id")))
-    if options.get("max_epochs", 1) > 1:
-        rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*[documents[c] for c in documents.columns])
+    epochs = chosen.groupBy(F.struct("doc_id").alias("key"), "epoch").agg(F.max("tokens").alias("tokens"), F.max("taken").alias("taken"))
+    part = F.col("taken") < F.col("tokens") if cut else F.lit(False)
+    times = epochs.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", F.when(part, F.col("taken")).alias("taken")))), lambda e: e["taken"]).alias("copies"))
+    # the whole row is one column beside the id, so that no name of it can clash
+    rows = documents.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = rows.join(times, "key").select("row", F.explode("copies").alias("taken"))
+    if cut:
+        text = F.col("row").getField(text_col)
+        tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORDS), F.lit(0))  # each with the space before it
+        rows = rows.withColumn("row", F.when(F.col("taken").isNull(), F.col("row")).otherwise(F.col("row").withField(f"`{text_col}`", F.array_join(F.slice(tokens, F.lit(1), F.col("taken").cast("int")), ""))))
+    return rows.select("row.*")

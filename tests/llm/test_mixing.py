@@ -91,6 +91,29 @@ def test_whole_documents_and_epochs(spark):
     assert found.columns == df.columns
 
 
+def test_columns_named_like_helpers_and_cut_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, `__id` string, `__times` int, `__copy` int, key string, row string, copies string, taken int"
+    rows = [(i, f" one  two\tthree {i}", "en", "src0", "a", 1, 2, "k", "r", "c", 9) for i in range(10)] + [(None, None, None, None, *[None] * 7)]
+    df = spark.createDataFrame(rows, schema)
+    for epochs in (1, 3):
+        whole = mix_documents(df, Weights(), domain_of(F.col("source")), budget=14, max_epochs=epochs)
+        assert whole.columns == df.columns and {r.text for r in whole.collect()} <= {r[1] for r in rows}
+        cut = mix_documents(df, Weights(), domain_of(F.col("source")), cut=True, budget=14, max_epochs=epochs).collect()
+        assert sum(len((r.text or "").split()) for r in cut) == 14
+        assert [r.text for r in cut if r.text is not None and len(r.text.split()) < 4] == [" one  two"]
+    empty = mix_documents(df.limit(0), Weights(), domain_of(F.col("source")), budget=14)
+    assert empty.columns == df.columns and empty.collect() == []
+
+
+def test_a_leaf_with_a_third_of_all_rows_among_many_siblings(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 20), "en", "src0" if i % 3 == 0 else f"host{i % 700}", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = select_tokens(df, MIX, domain_of(F.col("source")), budget_share=0.6, max_epochs=2, seed=3).collect()
+    strip = lambda rs: sorted(tuple(r) for r in rs if r[5] > 0)
+    assert strip(found) == strip(brute(rows, MIX, 0.6, 2, 3))
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(documents(1), SCHEMA)
     plan = select_tokens(df, MIX, domain_of(F.col("source")), budget_share=1.0)._jdf.queryExecution().toString()
