@@ -185,7 +185,7 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH said AS (
   SELECT conv_id, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, 'unknown') || chr(31) || coalesce(text, ''))) - 1 AS place
   FROM conversations),
 people AS (SELECT DISTINCT conv_id, who AS speaker FROM said WHERE who <> 'system'),
 lines AS (

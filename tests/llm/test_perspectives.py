@@ -1,9 +1,12 @@
+import hashlib
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm.perspectives import rotate_perspectives
+from quillspark.llm.perspectives import placed, rotate_perspectives
+from quillspark.llm.storage import Shelf
 
 from .fixtures import prose
 
@@ -24,7 +27,7 @@ def dialogues(seed):
 def brute(rows, per_part):
     out = {}
     for c in {r[0] for r in rows}:
-        said = sorted(((r[1] is not None, r[1] or 0, r[2] if r[2] is not None else "unknown", r[3] or "") for r in rows if r[0] == c), key=lambda x: (x[0], x[1], x[2].encode(), x[3].encode()))
+        said = sorted(((r[1] is not None, r[1] or 0, r[2] if r[2] is not None else "unknown", r[3] or "") for r in rows if r[0] == c), key=lambda x: (x[0], x[1], hashlib.md5(f"{x[2]}\x1f{x[3]}".encode()).hexdigest()))
         for me in {s[2] for s in said} - {"system"}:
             start = 0
             for part in range(-(-len(said) // per_part)):
@@ -51,6 +54,18 @@ def test_equals_plain_rendering(spark, per_part, turns_per_slice):
     assert got == brute(rows, per_part)
 
 
+def test_a_conversation_with_a_third_of_all_rows(spark):
+    """All its turns are null or equal; no window holds more than a part of them."""
+    rng = random.Random(8)
+    rows = [(7, rng.choice([None, 3]), rng.choice(["a", "b"]), f"line {i}", "x") for i in range(1500)] + [(c, t, "user", f"{c} {t}", "x") for c in range(100, 400) for t in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.conv_id, r.speaker, r.part): (r.messages, r.start, r.dialogue, [tuple(s) for s in r.spans]) for r in rotate_perspectives(df).collect()}
+    assert found == brute(rows, 64)
+    given = df.select(F.struct("conv_id").alias("conv"), "turn", F.col("role").alias("speaker"), F.col("text"))
+    windows = [r["count"] for r in placed(given, 64, Shelf(spark, "test")).groupBy("conv", "turn", F.substring(F.md5(F.concat("speaker", F.lit("\x1f"), "text").cast("binary")), 1, 2)).count().collect()]
+    assert max(windows) < 30
+
+
 def test_system_only_and_empty_table(spark):
     df = spark.createDataFrame([(1, 0, "system", "be kind", "x")], SCHEMA)
     assert rotate_perspectives(df).collect() == []
