@@ -9,6 +9,7 @@ import corpus_pipeline
 from quillspark.llm import queries as q
 from tests.oracle import assert_same, database
 
+from .fixtures import documents as fixture_documents
 from .test_cover_tree import brute as brute_vectors
 from .test_minhash_dedup import brute as brute_sets
 
@@ -79,3 +80,26 @@ def test_pipeline_stage_by_stage(spark, con):
     assert set(packed.doc_id) == set(ids)
     whole = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert set(whole.doc_id) == set(ids)
+
+
+def test_stages_on_missing_and_repeated_values_and_clashing_names(spark, con):
+    helpers = ["score", "score_", "__score", "id", "row", "key", "kept", "component_id", "copies", "taken", "length", "start"]
+    rows = [(*r, *range(len(helpers))) for r in fixture_documents(5)] + [(None, t, None, None, None, *[None] * len(helpers)) for t in (None, "", "no id has this text")]
+    rows += [rows[0], rows[1], (rows[2][0], "another text of an id", "en", "src1", 9, *[None] * len(helpers))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{h}` int" for h in helpers)
+    docs = spark.createDataFrame(rows, schema)
+    before = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        assert after.exceptAll(docs).isEmpty() and 0 < after.count() <= before
+        empty = stage(spark, docs.limit(0), FOLDER)
+        assert empty.dtypes == docs.dtypes and empty.collect() == []
+    packed = corpus_pipeline.pack(spark, docs, FOLDER)
+    whole = packed.groupBy("doc_id").agg({"length": "sum"}).count()
+    assert whole == docs.select("doc_id").distinct().count()
+    assert corpus_pipeline.pack(spark, docs.limit(0), FOLDER).collect() == []
+    deduped = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert deduped.where("doc_id is null").count() == 3
+    ids = deduped.where("doc_id is not null").select("doc_id")
+    assert ids.count() == ids.distinct().count()
