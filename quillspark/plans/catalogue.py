@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,9 +130,9 @@ def binarize_target(spark, d):
     return read_table(spark, d, "events").select("event_id", scaling.is_class(F.col("event_type"), "click").alias("y"))
 
 
-@query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 10000")
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 700")
 def first_n_rows(spark, d):
-    return sampling.first_rows(read_table(spark, d, "events").select("event_id", "value"), 10_000, "event_id")
+    return sampling.first_rows(read_table(spark, d, "events").select("event_id", "value"), 700, F.desc("value"), "event_id")
 
 
 # Samples, splits, folds ---------------------------------------------------------------------------------
@@ -155,6 +156,38 @@ def sample_third(spark, d):
     return sampling.exact_sample(rows, rows.count() // 3, sampling.row_hash(["event_id"]))
 
 
+#: Few different rows, many copies of each: (flag, status) of every line, numbered among equal ones.
+COPIES_SQL = (
+    "WITH c AS (SELECT l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey) - 1 AS copy FROM lineitem), "
+    "h AS (SELECT *, md5(l_returnflag || chr(31) || l_linestatus || chr(31) || CAST(copy AS varchar)) AS hash FROM c), "
+    "b AS (SELECT *, ('0x' || substr(hash, 1, 8))::bigint AS bits FROM h) "
+)
+
+
+def copies(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    rows = sampling.numbered(line(spark, d).select("l_returnflag", "l_linestatus"))
+    return rows, sampling.row_hash(rows.columns)
+
+
+@query(COPIES_SQL + "SELECT l_returnflag, l_linestatus, copy FROM h ORDER BY hash LIMIT (SELECT count(*) // 3 FROM h)")
+def sample_third_of_copies(spark, d):
+    """A third of a table of few different rows, each copy drawn on its own."""
+    rows, hash_ = copies(spark, d)
+    return sampling.exact_sample(rows, rows.count() // 3, hash_).withColumnRenamed("__copy", "copy")
+
+
+@query(COPIES_SQL + "SELECT l_returnflag, l_linestatus, copy, CASE WHEN bits % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM b")
+def split_of_copies(spark, d):
+    rows, hash_ = copies(spark, d)
+    return sampling.split(rows, hash_).withColumnRenamed("__copy", "copy")
+
+
+@query(COPIES_SQL + "SELECT l_returnflag, l_linestatus, copy, CAST(bits % 3 AS int) AS fold FROM b")
+def folds_of_copies(spark, d):
+    rows, hash_ = copies(spark, d)
+    return sampling.folds(rows, hash_).withColumnRenamed("__copy", "copy")
+
+
 @query(
     "SELECT doc_id, n_chars, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS int) AS lang, CAST(dense_rank() OVER (ORDER BY source) - 1 AS int) AS source, quality AS label, "
     "CASE WHEN (('0x' || substr(md5(CAST(doc_id AS varchar)), 1, 8))::bigint % 5) = 0 THEN 'test' ELSE 'train' END AS split "
@@ -170,8 +203,8 @@ def prep_dataset(spark, d):
 X, Y = "(p_size - 25)::double", "(p_retailprice / 100)"
 
 
-def scalar_query(name: str, operator: str, sql: str) -> None:
-    """A value, or null with ``kind`` saying which infinity or NaN it is."""
+def scalar_query(name: str, operator: str, sql: str, factor: str | None = None, unit: float = 1.0) -> None:
+    """A value, or null with ``kind`` saying which infinity or NaN it is.  The input is multiplied by ``factor`` and the value divided by ``unit``."""
     text = (
         f"SELECT p_partkey, CASE WHEN isfinite(v) THEN round(v, 6) END AS v, CASE WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN CASE WHEN v > 0 THEN 'inf' ELSE '-inf' END ELSE 'finite' END AS kind "
         f"FROM (SELECT p_partkey, {sql} AS v FROM part)"
@@ -180,10 +213,12 @@ def scalar_query(name: str, operator: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         part = read_table(spark, d, "part").select("p_partkey", (F.col("p_size") - 25).cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
         found = REGISTRY[operator]
+        if factor is not None:
+            part = part.withColumn("x", F.col("x") * F.expr(factor))
         part = part.withColumn("v", found.build(*[F.col(c) for c in ("x", "y")[: found.arity]]).cast("double"))
         infinite = F.col("v").isin(float("inf"), float("-inf"))
         kind = F.when(F.isnan("v"), "nan").when(F.col("v") == float("inf"), "inf").when(infinite, "-inf").otherwise("finite")
-        return part.select("p_partkey", F.when(~F.isnan("v") & ~infinite, r6("v")).alias("v"), kind.alias("kind"))
+        return part.select("p_partkey", F.when(~F.isnan("v") & ~infinite, r6(F.col("v") / F.lit(unit))).alias("v"), kind.alias("kind"))
 
     QUERIES[name], ORACLES[name] = run, text
 
@@ -195,10 +230,13 @@ scalar_query("sc_abs", "abs", f"abs({X})")
 scalar_query("sc_square", "square", f"{X} * {X}")
 scalar_query("sc_identity", "identity", X)
 scalar_query("sc_cube", "cube", f"{X} * {X} * {X}")
-scalar_query("sc_multinv", "reciprocal", f"CASE WHEN {X} = 0 THEN 'inf'::double ELSE 1 / {X} END")
+#: Minus zero for even keys.
+SIGNED = "(CASE WHEN p_partkey % 2 = 0 THEN -1.0 ELSE 1.0 END)::double"
+scalar_query("sc_multinv", "reciprocal", f"CASE WHEN {X} = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN '-inf'::double ELSE 'inf'::double END ELSE 1 / ({X} * {SIGNED}) END", "cast(case when p_partkey % 2 = 0 then -1.0 else 1.0 end as double)")
 scalar_query("sc_sqrtabs", "signed_sqrt", f"sqrt(abs({X})) * sign({X})")
 scalar_query("sc_logabs", "signed_log", f"CASE WHEN {X} = 0 THEN 'nan'::double ELSE ln(abs({X})) * sign({X}) END")
-scalar_query("sc_clamp_f32", "clamp_float32", f"{X}::float::double")
+#: Most values are beyond the largest float32 on either side.
+scalar_query("sc_clamp_f32", "clamp_float32", f"greatest(least({X} * 1e38::double, 3.4028234663852886e38::double), -3.4028234663852886e38::double)::float::double / 1e38::double", "1e38D", 1e38)
 
 
 # Group features -----------------------------------------------------------------------------------------
@@ -244,7 +282,16 @@ def group_query(name: str, how: str, windowed: bool = False) -> None:
 
 for how_ in GROUPED:
     group_query(f"groupby_{how_}", how_)
-QUERIES["groupby_mean_join"], ORACLES["groupby_mean_join"] = QUERIES["groupby_mean"], ORACLES["groupby_mean"]
+
+
+@query("WITH g AS (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(m, 6) AS mean_price, round(s, 6) AS std_quantity FROM lineitem JOIN g USING (l_returnflag, l_linestatus)")
+def groupby_mean_join(spark, d):
+    """Two features of few large groups, of a key of two columns, joined back to the lines."""
+    rows = line(spark, d).withColumn("k", F.concat_ws("/", "l_returnflag", "l_linestatus"))
+    rows = group_stats.group_feature(rows, "k", "l_extendedprice", "mean", "m")
+    return group_stats.group_feature(rows, "k", "l_quantity", "std", "s").select(*KEYS, r6("m").alias("mean_price"), r6("s").alias("std_quantity"))
+
+
 group_query("groupby_mean_window", "mean", windowed=True)
 group_query("groupby_median_window", "median", windowed=True)
 #: The seeded choice falls on one aggregate for good.
@@ -476,6 +523,51 @@ def f_regression(spark, d):
     return selection.regression_f(six(spark, d), SIX, "t").select("feature", log_f())
 
 
+EDGES = ["perfect", "constant", "good", "noise"]
+EDGES_SQL = (
+    "WITH x AS (SELECT CAST(l_quantity > 25 AS int) AS y, 3.7 * CAST(l_quantity > 25 AS int)::double - 1.1 AS perfect, 5.3::double AS constant, l_extendedprice AS good, l_tax AS noise FROM lineitem) "
+)
+KIND = "CASE WHEN f IS NULL THEN 'none' WHEN isinf(f) THEN 'infinite' ELSE 'finite' END AS kind, CASE WHEN isfinite(f) THEN round(ln(1 + f), 5) END AS log_f"
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    y = (F.col("l_quantity") > 25).cast("int")
+    return line(spark, d).select(y.alias("y"), (3.7 * y.cast("double") - 1.1).alias("perfect"), F.lit(5.3).alias("constant"), F.col("l_extendedprice").alias("good"), F.col("l_tax").alias("noise"))
+
+
+def kinds(found: DataFrame) -> DataFrame:
+    infinite = F.col("f") == float("inf")
+    return found.select("feature", F.when(F.col("f").isNull(), "none").when(infinite, "infinite").otherwise("finite").alias("kind"), F.when(~infinite, F.round(F.ln(1 + F.col("f")), 5)).alias("log_f"))
+
+
+ANOVA_EDGES = EDGES_SQL + ", f AS (SELECT 'perfect' AS feature, 'inf'::double AS f UNION ALL SELECT 'constant', NULL UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}', (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) FROM (SELECT y, count(*)::double AS n, avg({c}) AS m, var_pop({c}) AS v FROM x GROUP BY y), (SELECT avg({c}) AS g FROM x)"
+    for c in ("good", "noise")
+) + ") "
+
+
+@query(ANOVA_EDGES + f"SELECT feature, {KIND} FROM f")
+def anova_f_edges(spark, d):
+    """A column that tells the classes apart without error, a constant one, and two others."""
+    return kinds(selection.anova_f(edges(spark, d), EDGES, "y"))
+
+
+@query(
+    EDGES_SQL + ", f AS (SELECT 'perfect' AS feature, 'inf'::double AS f UNION ALL SELECT 'constant', NULL UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', pow(corr({c}, y), 2) / (1 - pow(corr({c}, y), 2)) * (count(*) - 2) FROM x" for c in ("good", "noise")) + f") SELECT feature, {KIND} FROM f"
+)
+def f_regression_edges(spark, d):
+    return kinds(selection.regression_f(edges(spark, d), EDGES, "y"))
+
+
+@query(ANOVA_EDGES + "SELECT feature, CAST(row_number() OVER (ORDER BY CASE feature WHEN 'perfect' THEN 0 WHEN 'constant' THEN 1 WHEN 'good' THEN 2 ELSE 3 END) AS int) AS place FROM (SELECT * FROM f WHERE f IS NOT NULL ORDER BY f DESC LIMIT 2)")
+def select_k_best_edges(spark, d):
+    """The two highest in the columns' order: the perfect column is among them, the constant one isn't."""
+    found = {r["feature"]: r["f"] for r in selection.anova_f(edges(spark, d), EDGES, "y").collect()}
+    top = selection.k_best([found[c] for c in EDGES], 2)
+    return literal(spark, [(EDGES[i], k + 1) for k, i in enumerate(top)], "feature string, place int")
+
+
 def f_values(spark: SparkSession, d: str) -> list[float]:
     found = {r["feature"]: r["f"] for r in selection.anova_f(six(spark, d), SIX, "y").collect()}
     return [found[c] for c in SIX]
@@ -618,6 +710,19 @@ def avg_importances(spark, d):
     return importance_query(spark, d, "avg")
 
 
+@query()
+def summed_importances(spark, d):
+    """Importances of three samples of a third each, summed."""
+    rows = sampling.numbered(dataset("line_product").table(spark, d)).persist()
+    k, total = rows.count() // 3, np.zeros(len(LINE))
+    for seed in range(3):
+        key = sampling.row_key(rows.columns, seed)
+        found, _ = importance.importances(sampling.dealt(sampling.exact_sample(rows, k, key), k, key), LINE, "y", "rf", Trees())
+        total += found
+    rows.unpersist()
+    return literal(spark, [(c, float(v)) for c, v in zip(LINE, total, strict=True)], "feature string, importance double")
+
+
 @query()
 def weighted_importances(spark, d):
     found = importance.weighted_importances(dataset("line_product").table(spark, d), LINE, "y", Trees())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructType
 
-from ..operators.sampling import row_hash, split
+from ..operators.sampling import row_hash, split, split_rows
 from ..operators.scaling import columns_of, label_encode
 
 
@@ -20,7 +20,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def prepare(df: DataFrame, target: str, hashed: list[str] | None = None) -> DataFrame:
-    """Text columns encoded, the target renamed to ``label``, and ``split``: a fifth of the rows is "test"."""
-    marked = split(df, row_hash(hashed or df.columns), 5)
+    """Text columns encoded, the target renamed to ``label``, and ``split``: a fifth of the rows is "test", by a hash of the columns
+    ``hashed``, or of all columns and each row's place among its copies."""
+    marked = split(df, row_hash(hashed), 5) if hashed else split_rows(df)
     texts = [c for c in columns_of(df, StringType) if c != target]
     return label_encode(marked, texts).withColumnRenamed(target, "label")

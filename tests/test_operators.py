@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -93,6 +94,71 @@ def test_dealing_does_not_depend_on_storage(spark, monkeypatch, part_rows):
     assert max(sum(a == -1 for a, _ in p) for p in found) < 1000 / len(found) * 2.5
 
 
+def test_edge_of_a_sample_is_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANKED", 3)
+    monkeypatch.setattr(sampling, "SLICE_BITS", 4)
+    df = spark.range(3000)
+    for hash_ in (sampling.row_hash(["id"]), sampling.row_key(["id"], 4)):
+        wanted = [r.id for r in df.orderBy(hash_).limit(1000).collect()]
+        assert sorted(wanted) == sorted(r.id for r in sampling.exact_sample(df, 1000, hash_).collect())
+
+
+def test_few_different_rows_are_sampled_split_and_folded_evenly(spark):
+    df = spark.range(24_000).select((F.col("id") % 8).cast("double").alias("a"), F.lit(None).cast("string").alias("b"))
+    took = {r.a: r["count"] for r in sampling.drawn(df, 8000, 3).groupBy("a").count().collect()}
+    assert len(took) == 8 and sum(took.values()) == 8000 and all(abs(n - 1000) < 120 for n in took.values())
+    folds = {(r.a, r.fold): r["count"] for r in sampling.fold_rows(df, 1).groupBy("a", "fold").count().collect()}
+    assert len(folds) == 24 and all(abs(n - 1000) < 120 for n in folds.values())
+    split = {(r.a, r.split): r["count"] for r in sampling.split_rows(df, 1).groupBy("a", "split").count().collect()}
+    assert all(abs(split[a, "test"] - 600) < 100 for a in range(8)) and sum(split.values()) == 24_000
+    again = sampling.drawn(df.orderBy(F.desc("a")).repartition(3), 8000, 3)
+    assert again.groupBy("a").count().exceptAll(sampling.drawn(df, 8000, 3).groupBy("a").count()).isEmpty()
+
+
+def test_many_columns_correlate_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 30))
+    x[:, 7] = 2 * x[:, 3] + 0.1 * x[:, 7]
+    x[:, 9] = 4.0
+    df = spark.createDataFrame(x.tolist(), [f"c{i}" for i in range(30)])
+    found = {(r.i, r.j): r["corr"] for r in selection.correlation_pairs(df, df.columns).collect()}
+    with np.errstate(invalid="ignore"):
+        wanted = np.abs(np.corrcoef(x.T))
+    assert len(found) == 435 and found[3, 7] > 0.99 and found[3, 9] is None
+    assert all(v is None if np.isnan(wanted[k]) else abs(v - wanted[k]) < 1e-9 for k, v in found.items())
+    few = selection.correlation_matrix(df, df.columns[:10])
+    assert np.allclose(few[:9, :9], wanted[:9, :9]) and np.isnan(few[0, 9])
+
+
+def test_f_values_at_their_limits(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 500)
+    rows = [(int(c), 0.1 * float(c) + 7.3, 5.3, float(c) + float(e), float(e), 1e9 + float(c) + float(e), None if k % 5 else float(c) + float(e)) for k, (c, e) in enumerate(zip(y, rng.normal(size=500)))]
+    df = spark.createDataFrame(rows, "y int, perfect double, constant double, good double, noise double, far double, holed double").repartition(5)
+    names = ["perfect", "constant", "good", "noise", "far", "holed"]
+
+    def by_hand(values, labels):
+        groups = [values[labels == c] for c in np.unique(labels)]
+        between = sum(len(g) * (g.mean() - values.mean()) ** 2 for g in groups) / (len(groups) - 1)
+        return between / (sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(values) - len(groups)))
+
+    data = {c: np.array([r[i + 1] for r in rows if r[i + 1] is not None]) for i, c in enumerate(names)}
+    labels = {c: np.array([r[0] for r in rows if r[i + 1] is not None]) for i, c in enumerate(names)}
+    for test in (selection.anova_f, selection.regression_f):
+        found = {r.feature: r.f for r in test(df, names, "y").collect()}
+        assert found["perfect"] == math.inf and found["constant"] is None
+        assert [names[i] for i in selection.k_best([found[c] for c in names], 2)][0] == "perfect"
+        for c in ("good", "noise", "far", "holed"):
+            if test is selection.anova_f:
+                wanted = by_hand(data[c], labels[c])
+            else:
+                r2 = np.corrcoef(data[c], labels[c])[0, 1] ** 2
+                wanted = r2 / (1 - r2) * (len(data[c]) - 2)
+            assert found[c] == pytest.approx(wanted, rel=1e-5)
+    one = df.withColumn("y", F.lit(1))
+    assert all(r.f is None for f in (selection.anova_f, selection.regression_f) for r in f(one, names, "y").collect())
+
+
 def test_correlation_edges(spark):
     rows = [(1.0, 1.0, 2.0, 4.0), (2.0, 2.0, 2.0, 3.0), (3.0, 3.0, 2.0, 2.0), (4.0, 4.1, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "c0 double, c1 double, c2 double, c3 double")
@@ -118,23 +184,23 @@ def test_metrics_edges(spark):
     assert metrics.roc_auc(df, "y", "s").first()[0] is None
     tied = spark.createDataFrame([(0, 0.5), (1, 0.5), (1, 0.9), (0, 0.9)], "y int, s double")
     assert metrics.roc_auc(tied, "y", "s").first()[0] == 0.5
+    holed = spark.createDataFrame([(0, 0.1), (1, 0.9), (1, None), (0, None), (None, 0.95), (1, float("nan"))], "y int, s double")
+    assert metrics.roc_auc(holed, "y", "s").first()[0] == 1.0
 
 
-def test_paths():
-    printed = """Tree
-  If (feature 0 <= 0.5)
-   If (feature 1 <= 0.2)
-    Predict: 0.0
-   Else (feature 1 > 0.2)
-    Predict: 1.0
-  Else (feature 0 > 0.5)
-   Predict: 1.0
-"""
-    assert list(paths.leaf_paths(printed)) == [[0, 1], [0, 1], [0]]
-    assert list(paths.leaf_paths("Tree\n  Predict: 0.0")) == [[]]
+def test_paths(spark, planted):
+    nodes = {0: (0, 1, 4), 1: (1, 2, 3), 2: (-1, -1, -1), 3: (-1, -1, -1), 4: (-1, -1, -1)}
+    assert list(paths.leaf_paths(nodes)) == [[0, 1], [0, 1], [0]]
+    assert list(paths.leaf_paths({0: (-1, -1, -1)})) == [[]]
     trees = [[[0, 1], [0, 1], [0, 2]], [[3, 0], [0], [3, 0]], [[]]]
     assert [paths.without_repeats(t) for t in trees] == [[[0, 1], [0, 2]], [[0], [3, 0]], []]
     assert paths.split_counts(trees, 4).tolist() == [5, 2, 2, 2]
+    _, forest = importance.importances(planted, ["a", "b", "c"], "y", "rf", Trees(trees=4, depth=3))
+    found = paths.tree_paths(forest)
+    assert [len(t) for t in found] == [(t.numNodes + 1) // 2 for t in forest.trees]
+    for saved, tree in zip(found, forest.trees, strict=True):
+        assert sum(map(len, saved)) >= tree.depth and max(map(len, saved)) == tree.depth
+        assert {c for p in saved for c in p} == set(map(int, re.findall(r"If \(feature (\d+)", tree.toDebugString)))
 
 
 def test_importances_find_the_planted_columns(spark, planted):

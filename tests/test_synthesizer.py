@@ -6,10 +6,10 @@ from quillspark.operators import importance
 from quillspark.operators.importance import Trees
 from quillspark.operators.scaling import Scale
 from quillspark.plans import catalogue as queries
-from quillspark.plans.benchmarking import compare, report
+from quillspark.plans.benchmarking import SCHEMA, compare, print_scores, report
 from quillspark.plans.synthesizer import FeatureModel, FeatureSynthesizer
 from quillspark.sources import synthetic
-from quillspark.sources.datasets import LINE, catalogue, dataset
+from quillspark.sources.datasets import LINE, catalogue, dataset, externals
 from quillspark.sources.readers import prepare, read_csv
 from quillspark.streaming.apply import run_available, stream_features
 
@@ -104,6 +104,46 @@ def test_same_features_however_the_table_is_stored(spark, table):
     assert made(table) == made(table.repartition(1)) == made(table.orderBy("l_tax"))
 
 
+def test_summed_samples_and_one_call(spark, table, monkeypatch):
+    seen = []
+
+    def noted(df, columns, label, *rest, **options):
+        seen.append(df.count())
+        return np.arange(len(columns), dtype=float), None
+
+    monkeypatch.setattr(importance, "importances", noted)
+    maker = FeatureSynthesizer(iterations=1, gen_size=1, check_corr=False, sample_count=3)
+    made = maker.fit_transform(table, LINE, "y", ["y"])
+    assert seen == [2000] * 6 and made.columns == ["y", *maker.model.feature_names] and made.count() == table.count()
+    with pytest.raises(ValueError):
+        FeatureSynthesizer(sample_count=0)
+
+
+def test_tables_that_users_bring(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(float(a), float(b), "x", 100 + k) for k, (a, b) in enumerate(rng.random((50, 2)))]
+    houses = spark.createDataFrame([*rows, (None, float("nan"), "y", 300)], "area double, `lot.size` double, street string, SalePrice int")
+    houses.write.option("header", True).csv(f"file://{tmp_path}/ames_housing.csv")
+    cover = spark.createDataFrame([(float(i % 7), i, 1 + i % 3) for i in range(12_000)], "a double, b int, Cover_Type int")
+    cover.write.parquet(f"file://{tmp_path}/covertype.parquet")
+    found = {d.name: d for d in externals(spark, f"file://{tmp_path}")}
+    assert set(found) == {"ames_housing", "covertype"}
+    ames = found["ames_housing"].table(spark, "")
+    assert ames.columns == ["area", "lot.size", "y"] and ames.count() == 51 and ames.where("area = 0 and `lot.size` = 0").count() == 1
+    forest = found["covertype"].table(spark, "")
+    assert forest.count() == 10_000 and {r.y for r in forest.select("y").distinct().collect()} == {0, 1}
+    assert found["covertype"].task == "classification" and found["ames_housing"].task == "regression"
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"file://{tmp_path}/iris.parquet")
+    with pytest.raises(ValueError):
+        externals(spark, f"file://{tmp_path}")
+
+
+def test_score_lines(spark, capsys):
+    results = spark.createDataFrame([("regression", "b", "lr_reg", "original", "r2", 0.5), ("classification", "a", "lr", "engineered", "f1_weighted", 0.75)], SCHEMA)
+    print_scores(results)
+    assert capsys.readouterr().out.splitlines() == ["a (classification), lr, engineered: f1_weighted = 0.7500", "b (regression), lr_reg, original: r2 = 0.5000"]
+
+
 def test_errors(spark, table):
     for bad in (dict(task="ranking"), dict(estimator="lgb"), dict(iterations=0), dict(task="regression", trees=Trees())):
         with pytest.raises(ValueError):
@@ -138,7 +178,7 @@ def test_stream(spark, model, tmp_path):
 
 
 def test_comparison_and_report(spark, tmp_path):
-    results = compare(spark, FOLDER, [dataset("line_planted")], {"regression": ["lr_reg"]}, trees=Trees(trees=5, depth=4), iterations=1, gen_size=6)
+    results = compare(spark, FOLDER, [dataset("line_planted")], {"regression": ["lr_reg"]}, trees=Trees(trees=5, depth=4), iterations=1, gen_size=20)  # enough draws to hold the planted product
     scores = {r.variant: r.score for r in results.collect()}
     assert scores["engineered"] >= scores["original"]
     report(results, f"file://{tmp_path}/report")
@@ -169,7 +209,7 @@ def test_registered_fits_have_the_defaults(spark, monkeypatch, name):
     assert (maker.trees, maker.iterations, maker.gen_size) == (plain.trees, plain.iterations, plain.gen_size)
 
 
-@pytest.mark.parametrize("name", ["rf_importances", "avg_importances", "weighted_importances", "tree_paths"])
+@pytest.mark.parametrize("name", ["rf_importances", "avg_importances", "summed_importances", "weighted_importances", "tree_paths"])
 def test_registered_ensembles_have_the_defaults(spark, monkeypatch, name):
     seen = []
 
