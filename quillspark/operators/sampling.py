@@ -16,6 +16,8 @@ SLICE_BITS, RANKED = 16, 50_000
 COPIES = 1000
 #: Rows of a dealt table in one partition, about, when there are more than the cores take.
 PART_ROWS = 1_000_000
+#: Rows of a partition, about, below which more partitions cost more than they save.
+FEW_ROWS = 2500
 
 
 def row_hash(columns: list[str], seed: int | None = None) -> Column:
@@ -102,9 +104,9 @@ def drawn(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def dealt(df: DataFrame, rows: int, hash_: Column) -> DataFrame:
-    """The ``rows`` rows of ``df`` dealt over all cores by their hash and in its order, so that partitions and their order do not depend on
+    """The ``rows`` rows of ``df`` dealt over the cores, as far as they are worth it, by their hash and in its order, so that partitions and their order do not depend on
     how the table was stored."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)), -(-rows // PART_ROWS))
     return df.withColumn("__hash", hash_).repartition(parts, "__hash").sortWithinPartitions("__hash").drop("__hash")
 
 
