@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, packing, quality_nbsvm
 from quillspark.llm.minhash_dedup import drop_near_duplicates
+from quillspark.llm.names import apart
 from quillspark.llm.queries import BYTE_BPE, MIX, domain_of
 from quillspark.llm.storage import Shelf
 
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_nbsvm.fit(docs.select("doc_id", "text"), labels, quality_nbsvm.not_held_out())
     score = "score"
-    while score in docs.columns:
+    while apart([score], docs.columns) == []:
         score += "_"
     scored = model.score(docs, score_col=score)
     return scored.where(quality_nbsvm.predicted(F.col(score)) == 1).drop(score)

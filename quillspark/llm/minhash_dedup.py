@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .names import exactly
 from .storage import Shelf
 from .words import WordHashes, mix, odd_multipliers, shingles
 
@@ -317,7 +318,7 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     Rows without an id stay.  Of rows that repeat an id one stays, with the smallest text."""
     found = near_duplicates(documents, id_col, text_col, **options)
     # the whole row is one column beside the id, so that no name of it can clash
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.struct(*map(exactly, documents.columns)).alias("row"))
     kept = rows.join(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")), "id", "left_anti")
     repeated = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
     if not repeated.isEmpty():

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import exactly
 from .storage import Shelf
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -166,7 +167,7 @@ def mix_documents(documents: DataFrame, weights: Weights, domain: Column, cut: b
     part = F.col("taken") < F.col("tokens") if cut else F.lit(False)
     times = epochs.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", F.when(part, F.col("taken")).alias("taken")))), lambda e: e["taken"]).alias("copies"))
     # the whole row is one column beside the id, so that no name of it can clash
-    rows = documents.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = documents.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.struct(*map(exactly, documents.columns)).alias("row"))
     rows = rows.join(times, "key").select("row", F.explode("copies").alias("taken"))
     if cut:
         text = F.col("row").getField(text_col)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .names import apart, fields, numbered
 from .words import WordHashes, mix
 
 BITS = 20
@@ -128,8 +129,8 @@ class QualityModel:
 
     def score(self, documents: DataFrame, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
         """The columns ``keep`` (all, if None) and ``score_col``, which takes the place of a column of that name."""
-        kept = [c for c in documents.columns if c != score_col and (keep is None or c in keep)]
-        rows = documents.select(*kept, F.col(text_col).alias("__text"))
+        kept = [c for c in apart(documents.columns, [score_col]) if keep is None or c in keep]
+        rows = documents.select(*numbered(kept), F.col(text_col).alias("text"))
         shared = documents.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ class QualityModel:
                 score = pa.array(model.probability(model.margins(found)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*kept, score_col])
 
-        return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(score_col, DoubleType())]))
+        return rows.mapInArrow(run, StructType([*fields(documents, kept), StructField(score_col, DoubleType())]))
 
 
 def featured(repeats: bool) -> Callable:

@@ -16,7 +16,7 @@ Defined cases
     Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.  Path: what then follows up to ``?``, ``#``
     or the end.  Null urls and those without ``://`` have an empty host and path, which no rule fits.  Of a rule given twice the later
     verdict counts.  Repeated rows get a row each; null ids stay null; an empty table or no rules are fine.  A column of the input named like
-    a result column gives way to it.
+    a result column, in any case of letters, gives way to it; others may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.scratch import scratch_dir
+from .names import apart, fields, numbered
 
 HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,8 +186,8 @@ def judge(pairs: list[tuple[str, str]], rules: UrlRules, find_host: Callable, fi
 def judge_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", keep: list[str] | None = None, default: str = "allow", shard_bytes: int = 64 << 20) -> DataFrame:
     """The columns ``keep`` (all, if None) and host, path, rule, verdict for every row."""
     index = UrlRules.build(pages.sparkSession, rules, shard_bytes)
-    kept = [c for c in pages.columns if c not in RESULT and (keep is None or c in keep)]
-    rows = pages.select(*kept, F.col(url_col).alias("__url"))
+    kept = [c for c in apart(pages.columns, RESULT) if keep is None or c in keep]
+    rows = pages.select(*numbered(kept), F.col(url_col).alias("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find_host, find_rule = index.open()
@@ -196,4 +197,4 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", ke
             columns = [[h for h, _ in pairs], [p for _, p in pairs], rule, verdict]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=[*kept, *RESULT])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *(StructField(c, StringType()) for c in RESULT)]))
+    return rows.mapInArrow(run, StructType([*fields(pages, kept), *(StructField(c, StringType()) for c in RESULT)]))

@@ -83,10 +83,10 @@ def test_pipeline_stage_by_stage(spark, con):
 
 
 def test_stages_on_missing_and_repeated_values_and_clashing_names(spark, con):
-    helpers = ["score", "score_", "__score", "id", "row", "key", "kept", "component_id", "copies", "taken", "length", "start"]
+    helpers = ["SCORE", "score_", "__score", "a.b", "a`b", "id", "row", "key", "kept", "component_id", "copies", "taken", "length", "start"]
     rows = [(*r, *range(len(helpers))) for r in fixture_documents(5)] + [(None, t, None, None, None, *[None] * len(helpers)) for t in (None, "", "no id has this text")]
     rows += [rows[0], rows[1], (rows[2][0], "another text of an id", "en", "src1", 9, *[None] * len(helpers))]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{h}` int" for h in helpers)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + h.replace("`", "``") + "` int" for h in helpers)
     docs = spark.createDataFrame(rows, schema)
     before = docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -41,6 +41,13 @@ def test_equals_trying_every_rule(spark, shard_bytes):
         assert (r.host, r.path, r.rule, r.verdict) == brute(url, URL_RULES)
 
 
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://a.net/", "c", 2, 3, 4)], "page_id long, url string, `Verdict` string, `a.b` int, `a``b` int, `__url` int")
+    found = judge_urls(df, URL_RULES)
+    assert found.columns == ["page_id", "url", "a.b", "a`b", "__url", "host", "path", "rule", "verdict"]
+    assert tuple(found.first()) == (1, "http://a.net/", 2, 3, 4, "a.net", "/", "net/", "block")
+
+
 def test_many_rules_and_later_verdict(spark):
     rng = random.Random(0)
     part = lambda: rng.choice(["a", "b", "c", "é"])
