@@ -72,7 +72,7 @@ def encoded(source, small: bool) -> Callable:
                 ids = encoder.encode_to_numpy(text.as_py() or "", allowed_special="all")
                 if size and size + len(ids) > CHUNK:
                     chunk, size = chunk + 1, 0
-                size += len(ids)
+                size += len(ids) + 1  # empty texts fill chunks too
                 chunks.append(chunk)
                 n.append(len(ids))
                 raw.append(ids.astype("<u2" if small else "<u4").tobytes())

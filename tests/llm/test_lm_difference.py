@@ -1,10 +1,12 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
-from quillspark.llm.lm_difference import cross_entropy_difference
+from quillspark.llm.lm_difference import cross_entropy_difference, encoded
 from quillspark.llm.packing import byte_bpe
 from quillspark.llm.queries import BYTE_BPE
 
@@ -79,3 +81,11 @@ def test_no_targets_and_empty_table(spark):
     found = {r.doc_id: r for r in cross_entropy_difference(df, none, BYTE_BPE).collect()}
     assert found[1].target_loss > found[1].background_loss and found[2].difference == 0.0 and found[2].tokens == 0
     assert cross_entropy_difference(df.limit(0), none, BYTE_BPE).collect() == []
+
+
+def test_chunks_of_empty_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr("quillspark.llm.lm_difference.CHUNK", 10)
+    source = SimpleNamespace(value=open(BYTE_BPE, "rb").read())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([None, ""] * 50, pa.string())], names=["doc_id", "text"])
+    (out,) = encoded(source, True)(iter([batch]))
+    assert max(Counter(out.column(0).to_pylist()).values()) <= 11
