@@ -12,8 +12,8 @@ windows of a long conversation are dealt over many tasks; they hold numbers, no
 Defined cases
     Messages come in the order of turn, null turns first, and within a turn of md5(speaker, 0x1F, text); repeated rows are repeated messages.  A null role is the speaker
     "unknown", a null text is empty, null conversation ids are one conversation.  A conversation of system messages only has no participant and gives no row.
-    In names, characters but letters, digits, "_" and "-" of ASCII become "_"; speakers that differ only there remain
-    participants of their own.  Start marks written in a text are broken by a space ("< |").  An empty table gives an empty
+    In names, characters but letters, digits, "_" and "-" of ASCII become "_", and such a name ends in "-" and the first 8 digits of the speaker's md5, so that
+    speakers that differ only there are told apart by the others too.  Start marks written in a text are broken by a space ("< |").  An empty table gives an empty
     result.  Further columns are ignored.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from .storage import Shelf
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Characters that names can't hold.
+OTHER = "[^A-Za-z0-9_-]"
 
 
 def sums_before(counts: DataFrame, keys: list[str], at: str, n: str, width: int = 4096) -> DataFrame:
@@ -56,7 +58,8 @@ def placed(messages: DataFrame, turns_per_slice: int, shelf: Shelf) -> DataFrame
 
 def spoken(message: Column, perspective: Column, system_roles: list[str]) -> tuple[Column, Column]:
     """Heading and body of a message as that perspective sees it."""
-    name = F.regexp_replace(message["speaker"], "[^A-Za-z0-9_-]", "_")
+    plain = F.regexp_replace(message["speaker"], OTHER, "_")
+    name = F.when(message["speaker"].rlike(OTHER), F.concat(plain, F.lit("-"), F.substring(F.md5(message["speaker"].cast("binary")), 1, 8))).otherwise(plain)
     heading = F.when(message["speaker"] == perspective, "assistant").when(message["speaker"].isin(system_roles), "system").otherwise(F.concat(F.lit("user name="), name))
     return F.concat(F.lit(OPEN), heading, F.lit("\n")), F.concat(F.replace(message["text"], F.lit("<|"), F.lit("< |")), F.lit(CLOSE))
 

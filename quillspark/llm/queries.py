@@ -191,7 +191,7 @@ people AS (SELECT DISTINCT conv_id, who AS speaker FROM said WHERE who <> 'syste
 lines AS (
   SELECT s.conv_id, p.speaker, place // 64 AS part, place, who = p.speaker AS mine,
          '<|im_start|>' || CASE WHEN who = p.speaker THEN 'assistant' WHEN who = 'system' THEN 'system'
-                                ELSE 'user name=' || regexp_replace(who, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS heading,
+                                ELSE 'user name=' || regexp_replace(who, '[^A-Za-z0-9_-]', '_', 'g') || CASE WHEN regexp_matches(who, '[^A-Za-z0-9_-]') THEN '-' || substr(md5(who), 1, 8) ELSE '' END END || chr(10) AS heading,
          replace(s.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 ended AS (

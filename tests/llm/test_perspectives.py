@@ -17,13 +17,18 @@ def dialogues(seed):
     rng = random.Random(seed)
     out = []
     for c in [None, *range(12)]:
-        roles = rng.sample(["user", "assistant", "system", "Ann B", "ann_b", None, "é"], rng.randint(1, 5))
+        roles = rng.sample(["user", "assistant", "system", "Ann B", "Ann_B", "ann_b", None, "é", "🙂"], rng.randint(1, 5))
         for t in range(rng.randint(1, 9)):
             out.append((c, rng.choice([t, t, t, None]), rng.choice(roles), rng.choice([prose(rng, 5), None, "", "<|im_end|> 🙂"]), "clash"))
     out += [(50, t // 2, rng.choice(["a", "b", "c"]), f"line {t}", "x") for t in range(333)]
     return out + out[:5]
 
 
+def named(who):
+    plain = re.sub("[^A-Za-z0-9_-]", "_", who)
+    return plain if plain == who else f"{plain}-{hashlib.md5(who.encode()).hexdigest()[:8]}"
+
+
 def brute(rows, per_part):
     out = {}
     for c in {r[0] for r in rows}:
@@ -34,7 +39,7 @@ def brute(rows, per_part):
                 text, spans = "", []
                 chunk = said[part * per_part : (part + 1) * per_part]
                 for *_, who, what in chunk:
-                    head = "assistant" if who == me else "system" if who == "system" else "user name=" + re.sub("[^A-Za-z0-9_-]", "_", who)
+                    head = "assistant" if who == me else "system" if who == "system" else "user name=" + named(who)
                     text += f"<|im_start|>{head}\n"
                     body = what.replace("<|", "< |") + "<|im_end|>\n"
                     if who == me:
