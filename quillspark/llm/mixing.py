@@ -147,7 +147,8 @@ def select_tokens(
     order = F.md5(F.concat(F.lit(f"{seed}:"), (F.col("whole") + 1).cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     part = rows.where("rest > 0").withColumn("epoch", F.col("whole") + 1).withColumn("place", order).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     within = Window.partitionBy(*LEAF, "slice").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = sums_before(shelf.saved(part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("n"))), SLICE_DIGITS)
+    # written, like the nodes' tables: the driver describes a plan anew with each step of it, so long ones fill its memory
+    slices = shelf.saved(sums_before(shelf.saved(part.groupBy(*LEAF, "slice").agg(F.sum("tokens").alias("n"))), SLICE_DIGITS))
     slices = slices.withColumnRenamed("before", "slices_before")
     part = part.join(slices, [*LEAF, "slice"]).withColumn("before", F.col("slices_before") + F.sum("tokens").over(within) - F.col("tokens"))
     part = part.where("before < rest").withColumn("taken", F.least(F.col("tokens"), F.col("rest") - F.col("before")))
@@ -166,6 +167,7 @@ def mix_documents(documents: DataFrame, weights: Weights, domain: Column, cut: b
     epochs = chosen.groupBy(F.struct("doc_id").alias("key"), "epoch").agg(F.max("tokens").alias("tokens"), F.max("taken").alias("taken"))
     part = F.col("taken") < F.col("tokens") if cut else F.lit(False)
     times = epochs.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", F.when(part, F.col("taken")).alias("taken")))), lambda e: e["taken"]).alias("copies"))
+    times = Shelf(documents.sparkSession, "mixing").saved(times)  # a short row for each chosen id; keeps the plan of the whole rows short
     # the whole row is one column beside the id, so that no name of it can clash
     rows = documents.select(F.struct(F.col(id_col).alias("doc_id")).alias("key"), F.struct(*map(exactly, documents.columns)).alias("row"))
     rows = rows.join(times, "key").select("row", F.explode("copies").alias("taken"))

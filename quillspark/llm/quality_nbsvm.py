@@ -9,7 +9,7 @@ them by dual coordinate descent.  A logistic curve over margins from cross-valid
 the fit behind them has not seen, turns a margin into a probability.
 
 Bound of the fit: at most ``max_rows`` labelled documents, those of smallest ``xxhash64(id)``, with one text each.  Their slots (some thousand 4-byte
-numbers a text) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats.  Scoring covers every row
+numbers a text) meet in one task, which fits the model; the driver only passes on two tables of ``2 ** BITS`` floats, compressed and never unpacked in the JVM.  Scoring covers every row
 and whole texts.
 
 Defined cases
@@ -22,6 +22,7 @@ Defined cases
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -105,9 +106,18 @@ def logistic(margins: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
+def packed(table: np.ndarray) -> bytes:
+    """A float32 table without loss, the numbers' first bytes side by side, then their second ones and so on: these repeat."""
+    return zlib.compress(table.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.float32).ravel()
+
+
 @dataclass
 class QualityModel:
-    """ratio: r by slot; weight: w * r by slot; score = curve((sum of weight) / |r| + offset)."""
+    """ratio: r by slot; weight: w * r by slot; score = curve((sum of weight) / |r| + offset).  Pickled, so also broadcast, it is compressed."""
 
     ratio: np.ndarray
     weight: np.ndarray
@@ -116,6 +126,12 @@ class QualityModel:
     shift: float
     repeats: bool = True
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"ratio": packed(self.ratio), "weight": packed(self.weight)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"ratio": unpacked(state["ratio"]), "weight": unpacked(state["weight"])}
+
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(rows))
         for k, at in enumerate(rows):
@@ -208,7 +224,7 @@ def fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(np.array(ids, np.int64), kind="stable")
     order = order[np.random.default_rng(1).permutation(len(order))]
     model = fit_arrays([rows[i] for i in order], np.array(label, np.int64)[order])
-    values = [[model.ratio.tobytes()], [model.weight.tobytes()], [model.offset], [model.slope], [model.shift]]
+    values = [[packed(model.ratio)], [packed(model.weight)], [model.offset], [model.slope], [model.shift]]
     types = [pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["ratio", "weight", "offset", "slope", "shift"])
 
@@ -223,10 +239,12 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, id_col: str =
     # a text for each, so at most max_rows for the task that fits
     one = texts.groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = one.select(F.xxhash64("id").alias("id"), "y", "text").mapInArrow(featured(repeats), "id long, y int, slots binary")
-    found = rows.repartition(1).mapInArrow(fitter, "ratio binary, weight binary, offset double, slope double, shift double").collect()
+    # as Arrow: rows for Python would be copied several times in the driver's JVM
+    found = rows.repartition(1).mapInArrow(fitter, "ratio binary, weight binary, offset double, slope double, shift double").toArrow().to_pylist()
     if not found:
         return fit_arrays([], np.empty(0, np.int64))
-    return QualityModel(np.frombuffer(found[0][0], np.float32), np.frombuffer(found[0][1], np.float32), *found[0][2:], repeats=repeats)
+    tables = {name: unpacked(found[0].pop(name)) for name in ("ratio", "weight")}
+    return QualityModel(**tables, **found[0], repeats=repeats)
 
 
 def not_held_out(id_col: str = "doc_id") -> Column:

@@ -127,3 +127,13 @@ def test_random_trees_fill_their_budget(spark):
     weights = Weights(domain={"web": 3, "news": 1}, lang={"a": 5}, source={"src1": 0.1})
     found = select_tokens(df, weights, domain_of(F.col("source")), budget=300, max_epochs=1).agg(F.sum("taken")).first()[0]
     assert 300 - 12 <= found <= 300  # leaves round down
+
+
+def test_whole_rows_are_joined_in_a_short_plan(spark):
+    df = spark.createDataFrame(documents(2), SCHEMA)
+    mixed = mix_documents(df, MIX, domain_of(F.col("source")), budget_share=0.9, max_epochs=1, seed=17)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    chosen = select_tokens(df, MIX, domain_of(F.col("source")), budget_share=0.9, max_epochs=1, seed=17)
+    ids = [r.doc_id for r in mixed.collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in chosen.collect())

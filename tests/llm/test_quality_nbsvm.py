@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -147,3 +148,15 @@ def test_slots_are_distinct_and_bounded():
     assert len(q.slots(None, WordHashes())) == 0
     plain, more = (q.slots("of of of of the end", WordHashes(), r) for r in (False, True))
     assert set(plain) < set(more) and len(q.slots("of the end", WordHashes(), True)) == len(q.slots("of the end", WordHashes(), False))
+
+
+def test_model_travels_compressed_and_unchanged():
+    rng, words = np.random.default_rng(3), WordHashes()
+    rows = [q.slots(text, words) for _, text, _ in corpus(60)]
+    model = q.fit_arrays(rows, rng.integers(0, 2, len(rows)))
+    sent = pickle.dumps(model)
+    assert len(sent) < 1 << q.BITS  # plain, two tables of four bytes a slot
+    got = pickle.loads(sent)
+    assert [got.ratio.tobytes(), got.weight.tobytes()] == [model.ratio.tobytes(), model.weight.tobytes()]
+    assert (got.offset, got.slope, got.shift, got.repeats) == (model.offset, model.slope, model.shift, model.repeats)
+    assert (got.margins(rows) == model.margins(rows)).all()
