@@ -1,0 +1,111 @@
+import numpy as np
+import pytest
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
+
+from quillspark.operators import ensembles, importance, paths, sampling
+from quillspark.operators.ensembles import Job, binned, boost, cells_of, grow, run, thresholds
+from quillspark.operators.importance import Trees
+from quillspark.plans import catalogue
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def few(spark):
+    """40 different rows with 1 to 40 copies, as (a, b, y, t)."""
+    return spark.range(40).selectExpr("id", "cast(id % 8 as double) a", "cast(floor(id / 8) as double) b", "cast((id % 8) * floor(id / 8) > 8 as int) y", "cast((id % 8) * 3 + floor(id / 8) as double) t").selectExpr(
+        "a", "b", "y", "t", "explode(sequence(0, cast(id as int))) copy"
+    ).cache()
+
+
+def test_work_is_by_cells_not_rows(spark, few):
+    """However many copies there are, as many cells as different rows are held."""
+    for times in (1, 30):
+        many = few.crossJoin(spark.range(times))
+        cells = cells_of(importance.filled(many, ["a", "b"], "y"), 2, 64)
+        assert (cells.cells, cells.rows, cells.classes) == (40, 820 * times, 2)
+        cells.unpersist()
+
+
+@pytest.mark.parametrize("name", ["rf_importances", "avg_importances", "summed_importances", "weighted_importances", "tree_paths"])
+def test_queries_do_not_expand_a_row_by_trees(spark, monkeypatch, name):
+    """MLlib keeps a count by tree with every row; no query fits by it unless a core can't hold the cells."""
+    monkeypatch.setattr(Trees, "forest", lambda self: pytest.fail("rows by trees"))
+    assert catalogue.queries()[name](spark, FOLDER).count() >= 4
+
+
+def test_large_tables_still_fit(spark, few, monkeypatch):
+    monkeypatch.setattr(ensembles, "MOST_BYTES", 0)
+    small = Trees(trees=3, depth=3)
+    for found in (importance.importances(few, ["a", "b"], "y", "avg", small)[0], importance.weighted_importances(few, ["a", "b"], "y", small)):
+        assert found.sum() == pytest.approx(1) and found.min() > 0
+    assert len(paths.tree_paths(importance.forest_importance(importance.filled(few, ["a", "b"], "y"), 2, small)[1])) == 3
+
+
+def test_same_however_stored(spark, few):
+    small = Trees(trees=5, depth=4)
+    wanted, forest = importance.importances(few, ["a", "b"], "y", "avg", small)
+    for stored in (few.repartition(1), few.orderBy(F.desc("b"))):
+        found, other = importance.importances(stored, ["a", "b"], "y", "avg", small)
+        assert found.tolist() == wanted.tolist() and paths.tree_paths(other) == paths.tree_paths(forest)
+    one = sampling.split_rows(few, 0, 5).groupBy("split").count().collect()
+    assert sorted(one) == sorted(sampling.split_copies(sampling.count_copies(few), 0, 5).groupBy("split").count().collect())
+
+
+def test_forest_has_the_size_and_importances_of_mllib(spark):
+    rows = importance.filled(catalogue.dataset("line_product").table(spark, FOLDER), catalogue.LINE, "y")
+    own, forest = importance.forest_importance(rows, 4, Trees(trees=60))
+    theirs = Trees(trees=60).forest().fit(rows.withColumn("features", importance.array_to_vector("features")))
+    assert own == pytest.approx(importance.vector(theirs, 4), abs=0.03)
+    assert np.mean([t.numNodes for t in forest.trees]) == pytest.approx(np.mean([t.numNodes for t in theirs.trees]), rel=0.1)
+
+
+def test_booster_is_that_of_mllib(spark, few):
+    rows = importance.assembled(few, ["a", "b"], "t").cache()
+    theirs = GBTRegressor(maxIter=3, maxDepth=2, maxBins=64, stepSize=0.1, minInstancesPerNode=20, seed=0).fit(rows)
+    made = few.groupBy("a", "b", "t").count().toPandas()
+    values = made[["a", "b"]].to_numpy()
+    edges = thresholds(values, made["count"].to_numpy(), 64)
+    own = boost(np.ascontiguousarray(binned(values, edges).T), made["count"].to_numpy(), made["t"].to_numpy(), False, np.array([8, 5]), 3, 2, 20, 0.1)
+    assert [t.numNodes for t in own.trees] == [t.numNodes for t in theirs.trees]
+    assert own.importances == pytest.approx(importance.vector(theirs, 2), abs=1e-9)
+
+
+def test_counts_are_rows():
+    """A cell of c rows weighs as c cells, in every label and at every limit of rows."""
+    rng = np.random.default_rng(0)
+    x, y, c = rng.integers(0, 5, (3, 60)).astype(np.uint8), rng.integers(0, 3, 60), rng.integers(1, 9, 60)
+    sizes = np.full(3, 5)
+    for classes, label in ((3, y), (0, y + rng.random(60))):
+        a = grow(x, c, label, classes, sizes, 4, 7, 3, rng)
+        b = grow(x.repeat(c, axis=1), np.ones(c.sum()), label.repeat(c), classes, sizes, 4, 7, 3, rng)
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert a.value == pytest.approx(b.value) and a.gain == pytest.approx(b.gain)
+
+
+def test_histograms_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y, one = rng.integers(0, 9, (4, 500)).astype(np.uint8), rng.integers(0, 5, 500), np.ones(500)
+    made = []
+    for most in (1 << 22, 100):
+        monkeypatch.setattr(ensembles, "HISTOGRAM", most)
+        made.append(run(Job("tree", 3, 1, 5, 6, 1, 2, values=True), x, y, one, np.full(4, 9), None).trees[0])
+    assert made[0].feature.tolist() == made[1].feature.tolist() and made[0].value.tolist() == made[1].value.tolist()
+
+
+def test_thresholds():
+    assert thresholds(np.array([[1.0], [2.0], [4.0]]), np.ones(3), 64)[0].tolist() == [1.5, 3.0]
+    assert thresholds(np.array([[7.0], [7.0]]), np.ones(2), 64)[0].tolist() == []
+    many = thresholds(np.arange(1000.0)[:, None], np.ones(1000), 4)[0]
+    assert np.abs(many - [250, 500, 750]).max() < 2
+    heavy = thresholds(np.arange(10.0)[:, None], np.array([1000, *[1] * 9]), 4)[0]
+    assert heavy[0] == 0.5 and len(heavy) <= 3
+    close = thresholds(np.array([[1.0], [np.nextafter(1.0, 2)], [np.inf]]), np.ones(3), 64)[0]
+    assert binned(np.array([[1.0], [np.nextafter(1.0, 2)], [np.inf]]), [close])[:, 0].tolist() == [0, 1, 2]
+
+
+def test_empty_and_single(spark, few):
+    for rows in (few.where("a < 0"), few.limit(1)):
+        found, forest = importance.importances(rows, ["a", "b"], "y", "avg", Trees(trees=2))
+        assert found.tolist() == [0.0, 0.0] and paths.tree_paths(forest) == [[[]], [[]]]
