@@ -7,6 +7,7 @@ from quillspark.operators import ensembles, importance, paths, sampling
 from quillspark.operators.ensembles import Job, binned, boost, cells_of, grow, run, thresholds
 from quillspark.operators.importance import Trees
 from quillspark.plans import catalogue
+from quillspark.plans.synthesizer import FeatureSynthesizer
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,3 +110,11 @@ def test_empty_and_single(spark, few):
     for rows in (few.where("a < 0"), few.limit(1)):
         found, forest = importance.importances(rows, ["a", "b"], "y", "avg", Trees(trees=2))
         assert found.tolist() == [0.0, 0.0] and paths.tree_paths(forest) == [[[]], [[]]]
+
+
+@pytest.mark.parametrize("name, options", [("line_product", {}), ("line_planted", {"selection": "fAnova"})])
+def test_fits_do_not_expand_a_row_by_trees(spark, monkeypatch, name, options):
+    monkeypatch.setattr(Trees, "forest", lambda self: pytest.fail("rows by trees"))
+    data = catalogue.dataset(name)
+    made = FeatureSynthesizer(task=data.task, iterations=2, gen_size=2, trees=Trees(task=data.task, trees=4), **options).fit(data.table(spark, FOLDER), data.features, "y")
+    assert made.feature_names
